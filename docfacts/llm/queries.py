@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from docfacts.llm import mixing, sharding
+from docfacts.llm import minhash, mixing, sharding
 
 
 def queries() -> dict:
     return {
         "op1_sharding": sharding.op1,
+        "op9_near_duplicates": minhash.op9,
         "op10_mixing": mixing.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": mixing.OP10_SQL}
+    return {"op9_near_duplicates": minhash.OP9_SQL, "op10_mixing": mixing.OP10_SQL}
