@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from docfacts.llm import maxscore, minhash, mixing, sharding
+from docfacts.llm import maxscore, minhash, mixing, sharding, substrings
 
 
 def queries() -> dict:
     return {
         "op1_sharding": sharding.op1,
         "op2_top_k": maxscore.op2,
+        "op6_substrings": substrings.op6,
         "op9_near_duplicates": minhash.op9,
         "op10_mixing": mixing.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_top_k": maxscore.OP2_SQL, "op9_near_duplicates": minhash.OP9_SQL, "op10_mixing": mixing.OP10_SQL}
+    return {"op2_top_k": maxscore.OP2_SQL, "op6_substrings": substrings.OP6_SQL, "op9_near_duplicates": minhash.OP9_SQL, "op10_mixing": mixing.OP10_SQL}
