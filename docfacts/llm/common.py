@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,10 +26,32 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """The same rows from the shared folder: computed once, lineage cut, safe against lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The same rows from a Parquet table in the shared folder: computed once, lineage cut, safe against lost executors.
+
+    A table, not checkpoint(), so that the plan read back is a plain scan: loops
+    then plan each round afresh, with nothing carried along from the rounds before.
+    The tables go when the driver's Python ends.
+    """
+    spark = df.sparkSession
+    if not _made:
+        atexit.register(_clear)
+    path = f"{shared_dir(spark)}/saved-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _clear() -> None:
+    for spark, path in _made:
+        sc = spark.sparkContext
+        if sc._jsc is not None:
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+    _made.clear()
 
 
 def remainder(doc_id, divisor: int):

@@ -232,7 +232,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     members = saved(bands.join(buckets, "key"))
     stars = members.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     tried = saved(confirm(saved(_likely(stars, sets, percent)), docs, shingle, percent).groupBy("a", "b").agg(F.max("same").alias("same")))
-    partners = 8
+    partners = 64
     while True:
         linked = components(tried.filter("same"))
         spread = members.join(linked, members["rep"] == linked["id"], "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
@@ -245,7 +245,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
         if seen.filter("more").isEmpty():
             linked = components(tried.filter("same"))
             break
-        partners *= 8
+        partners *= 16
     classes = sets.join(linked, sets["rep"] == linked["id"], "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("_c"))
     return signed.select("id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"], "left").select(
         F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("_c", "id")).alias("component_id")
