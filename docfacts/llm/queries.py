@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docfacts.llm import language, maxscore, minhash, mixing, sharding, substrings
+from docfacts.llm import language, maxscore, minhash, mixing, quality, sharding, substrings
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_top_k": maxscore.op2,
         "op6_substrings": substrings.op6,
         "op7_language": language.op7,
+        "op8_quality": quality.op8,
         "op9_near_duplicates": minhash.op9,
         "op10_mixing": mixing.op10,
     }
