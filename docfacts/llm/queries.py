@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from docfacts.llm import language, maxscore, minhash, mixing, quality, sharding, substrings
+from docfacts.llm import interpolation, language, maxscore, minhash, mixing, quality, sharding, substrings
 
 
 def queries() -> dict:
     return {
         "op1_sharding": sharding.op1,
         "op2_top_k": maxscore.op2,
+        "op4_interpolation": interpolation.op4,
         "op6_substrings": substrings.op6,
         "op7_language": language.op7,
         "op8_quality": quality.op8,
