@@ -4,14 +4,14 @@
    only the class goes on. Each class gets 128 minima, of which the low 4 bits
    are kept and packed in eight longs, and 32 band keys, each made of 4 whole
    minima (sets of similarity 0.8 share no band with a chance of 5e-8).
-2. Each band bucket links its members to its smallest member (a star, linear in
-   the bucket). Packed signatures are compared by bit counts; the collision-
+2. Each band bucket links its members to one of them (a star, linear in the bucket). Packed signatures are compared by bit counts; the collision-
    corrected estimate drops pairs far below the threshold (5 standard errors).
 3. What is left is confirmed on whole shingle sets, and components are formed.
 4. A bucket that still spans several components is looked at again: members
-   outside its largest component against all members, in tiles of bounded size
-   that emit, for each member and foreign component, only the likeliest partners.
-   This repeats with more partners until none was left out.
+   outside its largest component against all members of other components, in tiles
+   of bounded size that emit only the likeliest partners of each member. Rounds go
+   on, with more partners once the likeliest bring nothing new, until no candidate
+   between two components was left out.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ ROWS = HASHES // BANDS
 LONGS = HASHES * BITS // 64
 #: Members of a bucket that a task holds at a time, on either side of a comparison.
 TILE = 2048
+#: Foreign members that a member of a mixed bucket is compared with in the first round.
+PARTNERS = 2
 #: Rows of an id table that may be broadcast (16 bytes each); a larger one is shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -197,14 +199,10 @@ def _across(members: DataFrame, percent: int, partners: int) -> DataFrame:
             d &= np.uint64(0x1111111111111111)
             like = (1 - np.bitwise_count(d).sum(axis=1) / HASHES - 2.0**-BITS) / (1 - 2.0**-BITS)
             ok = np.flatnonzero((comp[x] != comp[i]) & (like >= least) & (100 * np.minimum(n[x], n[i]) >= percent * np.maximum(n[x], n[i])))
-            ok = ok[np.lexsort((-like[ok], comp[x[ok]]))]
-            c = comp[x[ok]]
-            first = np.searchsorted(c, c)
-            rank = np.arange(len(ok)) - first
-            more = np.searchsorted(c, c, "right") - first > partners
-            for o in np.flatnonzero(rank < partners):
-                a, b = sorted((int(rep[i]), int(rep[x[ok[o]]])))
-                found[0].append(a), found[1].append(b), found[2].append(bool(more[o]))
+            best = ok[np.lexsort((rep[x[ok]], -like[ok]))[:partners]]
+            for o in x[best]:
+                a, b = sorted((int(rep[i]), int(rep[o])))
+                found[0].append(a), found[1].append(b), found[2].append(len(ok) > partners)
         return pa.table([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.bool_())], ["a", "b", "more"])
 
     dealt = targets.select(cols).unionByName(queries.select(cols))
@@ -228,24 +226,30 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     named = signed.filter("id is not null and n > 0")
     sets = saved(named.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
     bands = sets.select("rep", F.explode("bands").alias("key"))
-    buckets = bands.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).filter("lead <> last").select("key", "lead")
+    buckets = bands.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
     members = saved(bands.join(buckets, "key"))
-    stars = members.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    tried = saved(confirm(saved(_likely(stars, sets, percent)), docs, shingle, percent).groupBy("a", "b").agg(F.max("same").alias("same")))
-    partners = 64
+    # Each bucket's lead is its most popular member, the one that meets most others in all of its buckets: in a
+    # group of copies, the text that they were made from. Each member asks the most popular of its leads.
+    popular = members.groupBy("rep").agg(F.sum("m").alias("meets"))
+    first = F.struct(F.col("meets"), (-F.col("rep")).alias("rep"))
+    leads = members.join(popular, "rep").groupBy("key").agg(F.max(first).alias("lead"))
+    stars = members.join(leads, "key").groupBy("rep").agg((-F.max("lead")["rep"]).alias("lead")).filter("rep <> lead")
+    pairs = stars.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
+    members = members.select("key", "rep")
+    tried = saved(confirm(saved(_likely(pairs, sets, percent)), docs, shingle, percent).groupBy("a", "b").agg(F.max("same").alias("same")))
+    partners = PARTNERS
     while True:
         linked = components(tried.filter("same"))
         spread = members.join(linked, members["rep"] == linked["id"], "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
         mixed = spread.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a <> _b").select("key")
         seen = saved(_across(spread.join(mixed, "key").join(sets.select("rep", "n", "sig"), "rep"), percent, partners))
-        fresh = saved(seen.join(tried, ["a", "b"], "left_anti"))
-        if fresh.isEmpty():
+        fresh = saved(seen.join(tried, ["a", "b"], "left_anti").select("a", "b"))
+        if not fresh.isEmpty():
+            tried = saved(tried.unionByName(confirm(fresh, docs, shingle, percent).groupBy("a", "b").agg(F.max("same").alias("same"))))
+        elif seen.filter("more").isEmpty():
             break
-        tried = saved(tried.unionByName(confirm(fresh, docs, shingle, percent).groupBy("a", "b").agg(F.max("same").alias("same"))))
-        if seen.filter("more").isEmpty():
-            linked = components(tried.filter("same"))
-            break
-        partners *= 16
+        else:
+            partners *= 8
     classes = sets.join(linked, sets["rep"] == linked["id"], "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("_c"))
     return signed.select("id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"], "left").select(
         F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("_c", "id")).alias("component_id")
