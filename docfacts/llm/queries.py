@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docfacts.llm import interpolation, language, maxscore, minhash, mixing, quality, sharding, substrings
+from docfacts.llm import fingerprints, interpolation, language, maxscore, minhash, mixing, quality, sharding, substrings
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_sharding": sharding.op1,
         "op2_top_k": maxscore.op2,
         "op4_interpolation": interpolation.op4,
+        "op5_fingerprints": fingerprints.op5,
         "op6_substrings": substrings.op6,
         "op7_language": language.op7,
         "op8_quality": quality.op8,
