@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from docfacts.llm import fingerprints, interpolation, language, maxscore, minhash, mixing, quality, sharding, substrings
+from docfacts.llm import fingerprints, interpolation, language, maxscore, minhash, mixing, quality, sentencepiece, sharding, substrings
 
 
 def queries() -> dict:
     return {
         "op1_sharding": sharding.op1,
         "op2_top_k": maxscore.op2,
+        "op3_sentencepiece": sentencepiece.op3,
         "op4_interpolation": interpolation.op4,
         "op5_fingerprints": fingerprints.op5,
         "op6_substrings": substrings.op6,
