@@ -52,13 +52,20 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, limit: f
 
 
 def schedule(
-    df: DataFrame, key: str = "doc_id", source: str = "source", size: Column | None = None, weights=(5.0, 2.0, 1.0), share: float = 1.5, limit: float = 2.0
+    df: DataFrame,
+    key: str = "doc_id",
+    source: str = "source",
+    size: Column | None = None,
+    weights=(5.0, 2.0, 1.0),
+    share: float = 1.5,
+    limit: float = 2.0,
+    carry: bool = False,
 ) -> DataFrame:
     """A row per document: id, source, size, source_size, target, taken, copies, first_time, second_time.
 
     ``copies`` is how often the mix reads the document (0 to ``limit`` rounded
     up), ``taken`` the words of those copies, ``*_time`` the moments of the first
-    two readings. A copy is read if its middle is within the demand, so a
+    two readings; with ``carry``, ``row`` holds the whole row of ``df``. A copy is read if its middle is within the demand, so a
     source's taken words are within half a document of its target.
 
     A hot source is no hot task: its line is cut in 4096 blocks by hash, lengths
@@ -72,10 +79,11 @@ def schedule(
     from docfacts.llm.common import saved
 
     size = words(F.col("text")) if size is None else size
-    rows = saved(
-        df.select(F.col(key).alias("id"), F.col(source).alias("source"), size.alias("size")).withColumn("_at", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")))
-    ).withColumn("_block", F.substring("_at", 1, _BLOCK_DIGITS))
-    blocks = rows.groupBy("source", "_block").agg(F.sum("size").alias("_sum"))
+    at = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))
+    narrow = [F.col(key).alias("id"), F.col(source).alias("source"), size.alias("size"), at.alias("_at"), F.substring(at, 1, _BLOCK_DIGITS).alias("_block")]
+    facts = saved(df.select(*narrow))
+    rows = df.select(*narrow, F.struct(*[F.col(c) for c in df.columns]).alias("row")) if carry else facts
+    blocks = facts.groupBy("source", "_block").agg(F.sum("size").alias("_sum"))
     goal = targets(blocks.groupBy("source").agg(F.sum("_sum").alias("source_size")), weights, share, limit)
     before = Window.partitionBy("source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select("source", "_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
@@ -104,6 +112,7 @@ def schedule(
         copies.alias("copies"),
         F.when(read[0], moment(laps[0])).alias("first_time"),
         (F.when(read[1], moment(laps[1])) if len(laps) > 1 else F.lit(None).cast("double")).alias("second_time"),
+        *(["row"] if carry else []),
     )
 
 
@@ -113,6 +122,13 @@ def positions(scheduled: DataFrame, key: str = "doc_id") -> DataFrame:
     return scheduled.select(key, "source", F.posexplode(times).alias("copy", "time")).filter("time is not null").orderBy("time", key, "copy")
 
 
+def mixed(df: DataFrame, **options) -> DataFrame:
+    """The rows that the mix reads, all columns, each as often as it is read, range-sorted into training order."""
+    rows = schedule(df, carry=True, **options)
+    copies = rows.select("row", F.explode(F.array("first_time", "second_time")).alias("time")).filter("time is not null").orderBy("time")
+    return copies.select(*[F.col("row")[c].alias(c) for c in df.columns])
+
+
 def op10(spark, sf_dir: str) -> DataFrame:
     from docfacts.llm.common import read
 

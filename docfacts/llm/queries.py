@@ -5,6 +5,12 @@ from __future__ import annotations
 from docfacts.llm import fingerprints, interpolation, language, maxscore, minhash, mixing, quality, sentencepiece, sharding, substrings
 
 
+def pipeline(spark, sf_dir: str):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
         "op1_sharding": sharding.op1,
@@ -17,6 +23,7 @@ def queries() -> dict:
         "op8_quality": quality.op8,
         "op9_near_duplicates": minhash.op9,
         "op10_mixing": mixing.op10,
+        "pipeline": pipeline,
     }
 
 

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docfacts.llm.wordhash import buffers, column, mix, pieces
 
@@ -233,28 +234,35 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
     null ids are ids like any other; an empty table gives no rows; other columns
     are ignored, whatever their names.
     """
-    docs = _keyed(df, key, text)
-    return _kept(docs, window).select(F.when(F.col("nil"), F.lit(None).cast("long")).otherwise(F.col("id")).alias(key), "n_words", "n_removed", "kept")
+    docs = df.select(F.col(key).alias("own"), *_keys(key, text), F.col(text).alias("text"))
+    return _kept(docs, window, tidy=True).select(F.col("own").alias(key), "n_words", "n_removed", F.col("text").alias("kept"))
 
 
-def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(
-        F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("id"), F.xxhash64(F.col(key).isNull(), F.col(text)).alias("th"), F.col(key).isNull().alias("nil"), F.col(text).alias("text")
-    )
+def cleaned(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35) -> DataFrame:
+    """The rows of ``df``, all columns, with repeated passages cut out of ``text``; other texts stay as they are."""
+    rest = F.struct(*[F.col(c) for c in df.columns if c != text])
+    docs = df.select(rest.alias("own"), *_keys(key, text), F.col(text).alias("text"))
+    done = _kept(docs, window, tidy=False)
+    return done.select(*[(F.col("text") if c == text else F.col("own")[c]).alias(c) for c in df.columns])
 
 
-def _kept(docs: DataFrame, window: int) -> DataFrame:
+def _keys(key: str, text: str) -> list:
+    return [F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("id"), F.xxhash64(F.col(key).isNull(), F.col(text)).alias("th")]
+
+
+def _kept(docs: DataFrame, window: int, tidy: bool) -> DataFrame:
+    """``docs`` (own, id, th, text) to (own, n_words, n_removed, text); ``tidy`` joins the words of texts that lose nothing, too."""
     found = repeats(docs.select("id", "th", "text"), window).groupBy("id", "th").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ranges, nil = column(batch, "ranges"), column(batch, "nil")
-            texts = column(batch, "text")
+            ranges, texts = column(batch, "ranges"), column(batch, "text")
             data, offsets = buffers(texts, lower=False)
             raw, null = data.tobytes(), texts.is_null().to_pylist()
             n_words, n_removed, kept = [], [], []
             for r in range(len(batch)):
-                words = raw[offsets[r] : offsets[r + 1]].split()
+                whole = raw[offsets[r] : offsets[r + 1]]
+                words = whole.split()
                 n_words.append(len(words))
                 gone = ranges[r].as_py()
                 if gone:
@@ -263,12 +271,13 @@ def _kept(docs: DataFrame, window: int) -> DataFrame:
                         keep[g["start"] : g["start"] + g["n"] + window - 1] = False
                     words = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
                 n_removed.append(n_words[-1] - len(words))
-                kept.append(None if null[r] else b" ".join(words).decode())
+                kept.append(None if null[r] else b" ".join(words) if tidy or gone else whole)
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "id"), nil, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["id", "nil", "n_words", "n_removed", "kept"]
+                [column(batch, "own"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["own", "n_words", "n_removed", "text"]
             )
 
-    return docs.join(found, ["id", "th"], "left").select("id", "nil", "text", "ranges").mapInArrow(cut, "id long, nil boolean, n_words long, n_removed long, kept string")
+    numbers = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("text", T.StringType())]
+    return docs.join(found, ["id", "th"], "left").select("own", "text", "ranges").mapInArrow(cut, T.StructType([docs.schema["own"], *numbers]))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
