@@ -7,11 +7,12 @@
 2. Each band bucket links its members to one of them (a star, linear in the bucket). Packed signatures are compared by bit counts; the collision-
    corrected estimate drops pairs far below the threshold (5 standard errors).
 3. What is left is confirmed on whole shingle sets, and components are formed.
-4. A bucket that still spans several components is looked at again: members
-   outside its largest component against all members of other components, in tiles
-   of bounded size that emit only the likeliest partners of each member. Rounds go
-   on, with more partners once the likeliest bring nothing new, until no candidate
-   between two components was left out.
+4. A bucket that still spans several components is looked at again: each member
+   outside its largest component lists the members of other components that its
+   signature allows. What the lists connect is brought together, whole sets
+   included, in tiles of bounded size; a tile confirms listed pairs, the likeliest
+   first, and skips those that links found before already connect. Nothing is left
+   out, and what is handed on is linear in the members, never all pairs.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ ROWS = HASHES // BANDS
 LONGS = HASHES * BITS // 64
 #: Members of a bucket that a task holds at a time, on either side of a comparison.
 TILE = 2048
-#: Foreign members that a member of a mixed bucket is compared with in the first round.
-PARTNERS = 2
+#: Shingles of a tile's sets, on either side.
+TILE_SHINGLES = 4_000_000
 #: Rows of an id table that may be broadcast (16 bytes each); a larger one is shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -152,9 +153,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
                     grams, edges = shingle_sets(words, k)
                     sets += [grams[edges[r] : edges[r + 1]] for r in range(words.rows)]
                 for r in range(m):
-                    x, y = sets[r], sets[m + r]
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    out[lo + r] = common > 0 and 100 * common >= percent * (len(x) + len(y) - common)
+                    out[lo + r] = _alike(sets[r], sets[m + r], percent)
             yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b"), pa.array(out)], ["a", "b", "same"])
 
     a, b = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
@@ -169,13 +168,22 @@ def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").filter(ok).select("a", "b")
 
 
-def _across(members: DataFrame, percent: int, partners: int) -> DataFrame:
+def _find(parent: dict, x):
+    while parent.setdefault(x, x) != x:
+        parent[x] = parent[parent[x]]
+        x = parent[x]
+    return x
+
+
+def _lists(members: DataFrame, percent: int) -> DataFrame:
     """Candidates between components that meet in a bucket.
 
-    ``members`` (key, rep, n, sig, comp) are those of buckets with several
-    components. Returns (a, b, more): for each member outside its bucket's largest
-    component and each other component of a tile, the ``partners`` likeliest;
-    ``more`` if that left any out.
+    ``members`` (key, band, rep, n, sig, bands, comp) are those of buckets with
+    several components. Returns (q, partners, joins): for a member outside its
+    bucket's largest component, the members of other components whose sizes and
+    signatures allow the threshold, likeliest first, each pair in the first band
+    that it shares; ``joins`` are those of them that a tile's earlier lists don't
+    connect with q yet.
     """
     sizes = members.groupBy("key", "comp").agg(F.count("*").alias("m"))
     buckets = sizes.groupBy("key").agg(F.sum("m").alias("g"), F.max_by("comp", F.struct("m", "comp")).alias("top"), (F.sum("m") - F.max("m")).alias("s"))
@@ -183,30 +191,87 @@ def _across(members: DataFrame, percent: int, partners: int) -> DataFrame:
     deal = F.xxhash64("rep")
     targets = tiles.withColumns({"i": F.pmod(deal, F.col("gt")).cast("int"), "j": F.explode(F.sequence(F.lit(0), F.col("st") - 1)), "asks": F.lit(False)})
     queries = tiles.filter("comp <> top").withColumns({"j": F.pmod(deal, F.col("st")).cast("int"), "i": F.explode(F.sequence(F.lit(0), F.col("gt") - 1)), "asks": F.lit(True)})
-    cols = ["key", "i", "j", "asks", "rep", "n", "sig", "comp"]
+    cols = ["key", "i", "j", "asks", "band", "top", "rep", "n", "sig", "bands", "comp"]
     least = _least_estimate(percent)
 
     def run(t: pa.Table) -> pa.Table:
         asks = t["asks"].to_numpy()
         rep, n, comp = (t[c].to_numpy() for c in ("rep", "n", "comp"))
-        sig = t["sig"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, LONGS)
+        sig, bands = (t[c].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, w) for c, w in (("sig", LONGS), ("bands", BANDS)))
+        band, top = t["band"][0].as_py(), t["top"][0].as_py()
         q, x = np.flatnonzero(asks), np.flatnonzero(~asks)
-        found: tuple[list, list, list] = ([], [], [])
+        out: tuple[list, list, list] = ([], [], [])
+        parent: dict = {}
         for i in q:
-            d = sig[x] ^ sig[i]
+            # A pair of two askers is listed by the one with the smaller id.
+            ok = x[(comp[x] != comp[i]) & ((comp[x] == top) | (rep[x] > rep[i])) & (100 * np.minimum(n[x], n[i]) >= percent * np.maximum(n[x], n[i]))]
+            if band and len(ok):
+                ok = ok[~(bands[ok, :band] == bands[i, :band]).any(axis=1)]
+            if not len(ok):
+                continue
+            d = sig[ok] ^ sig[i]
             d |= d >> np.uint64(1)
             d |= d >> np.uint64(2)
             d &= np.uint64(0x1111111111111111)
             like = (1 - np.bitwise_count(d).sum(axis=1) / HASHES - 2.0**-BITS) / (1 - 2.0**-BITS)
-            ok = np.flatnonzero((comp[x] != comp[i]) & (like >= least) & (100 * np.minimum(n[x], n[i]) >= percent * np.maximum(n[x], n[i])))
-            best = ok[np.lexsort((rep[x[ok]], -like[ok]))[:partners]]
-            for o in x[best]:
-                a, b = sorted((int(rep[i]), int(rep[o])))
-                found[0].append(a), found[1].append(b), found[2].append(len(ok) > partners)
-        return pa.table([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.bool_())], ["a", "b", "more"])
+            ok, like = ok[like >= least], like[like >= least]
+            if not len(ok):
+                continue
+            partners = rep[ok[np.argsort(-like, kind="stable")]].tolist()
+            joins = []
+            for p in partners:
+                a, b = _find(parent, int(rep[i])), _find(parent, p)
+                if a != b:
+                    parent[a] = b
+                    joins.append(p)
+            out[0].append(int(rep[i])), out[1].append(partners), out[2].append(joins)
+        return pa.table([pa.array(out[0], pa.int64()), *(pa.array(o, pa.list_(pa.int64())) for o in out[1:])], ["q", "partners", "joins"])
 
     dealt = targets.select(cols).unionByName(queries.select(cols))
-    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+    return dealt.groupBy("key", "i", "j").applyInArrow(run, "q long, partners array<long>, joins array<long>")
+
+
+def _linked_lists(lists: DataFrame, comps: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) among listed pairs, enough to connect all that whole sets connect; ``comps`` (rep, comp) says what is connected already."""
+    homes = components(lists.select(F.col("q").alias("a"), F.explode("joins").alias("b")))
+    people = homes.select(F.col("id").alias("rep"), F.col("component").alias("home")).join(sets.select("rep", "n"), "rep").join(comps, "rep")
+    tiles = people.groupBy("home").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_SHINGLES)).cast("int").alias("t"))
+    people = saved(people.join(tiles, "home"))
+    few = F.broadcast(people) if people.count() <= BROADCAST_ROWS else people
+    held = docs.join(few, docs["id"] == few["rep"]).select("home", "t", "rep", "comp", "text")
+    mine = F.pmod(F.xxhash64("rep"), F.col("t")).cast("int")
+    every = F.sequence(F.lit(0), F.col("t") - 1)
+    cols = ["home", "i", "j", "rep", "comp", "text"]
+    left = held.withColumns({"i": mine, "j": F.explode(every)}).select(cols)
+    right = held.withColumns({"j": mine, "i": F.explode(F.filter(every, lambda i: i != mine))}).select(cols)  # on the diagonal it is there already
+    asked = lists.join(people.select(F.col("rep").alias("q"), "home", "t"), "q").withColumns({"i": F.pmod(F.xxhash64("q"), F.col("t")).cast("int"), "j": F.explode(every)})
+    asked = asked.select(F.col("home").alias("at"), "i", "j", "q", F.filter("partners", lambda p: F.pmod(F.xxhash64(p), F.col("t")) == F.col("j")).alias("partners")).filter(F.size("partners") > 0)
+
+    def run(people_: pa.Table, asked_: pa.Table) -> pa.Table:
+        a, b = [], []
+        if len(people_) and len(asked_):
+            rep, comp = people_["rep"].to_pylist(), people_["comp"].to_pylist()
+            own: dict[int, list[np.ndarray]] = {}
+            for lo, hi, words in pieces(people_["text"].combine_chunks(), lower=True):
+                grams, edges = shingle_sets(words, k)
+                for r in range(hi - lo):
+                    own.setdefault(rep[lo + r], []).append(grams[edges[r] : edges[r + 1]])
+            of = dict(zip(rep, comp, strict=True))
+            parent: dict = {}
+            for q, partners in sorted(zip(asked_["q"].to_pylist(), asked_["partners"].to_pylist(), strict=True)):
+                for p in partners:
+                    cq, cp = _find(parent, of[q]), _find(parent, of[p])
+                    if cq != cp and any(_alike(x, y, percent) for x in own[q] for y in own[p]):
+                        parent[cq] = cp
+                        a.append(min(p, q)), b.append(max(p, q))
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return left.unionByName(right).groupBy("home", "i", "j").cogroup(asked.groupBy("at", "i", "j")).applyInArrow(run, "a long, b long")
+
+
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common > 0 and 100 * common >= percent * (len(x) + len(y) - common)
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -225,7 +290,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     signed = saved(signatures(docs, shingle))
     named = signed.filter("id is not null and n > 0")
     sets = saved(named.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
-    bands = sets.select("rep", F.explode("bands").alias("key"))
+    bands = sets.select("rep", F.posexplode("bands").alias("band", "key"))
     buckets = bands.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
     members = saved(bands.join(buckets, "key"))
     # Each bucket's lead is its most popular member, the one that meets most others in all of its buckets: in a
@@ -235,21 +300,15 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     leads = members.join(popular, "rep").groupBy("key").agg(F.max(first).alias("lead"))
     stars = members.join(leads, "key").groupBy("rep").agg((-F.max("lead")["rep"]).alias("lead")).filter("rep <> lead")
     pairs = stars.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
-    members = members.select("key", "rep")
-    tried = saved(confirm(saved(_likely(pairs, sets, percent)), docs, shingle, percent).groupBy("a", "b").agg(F.max("same").alias("same")))
-    partners = PARTNERS
-    while True:
-        linked = components(tried.filter("same"))
-        spread = members.join(linked, members["rep"] == linked["id"], "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-        mixed = spread.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a <> _b").select("key")
-        seen = saved(_across(spread.join(mixed, "key").join(sets.select("rep", "n", "sig"), "rep"), percent, partners))
-        fresh = saved(seen.join(tried, ["a", "b"], "left_anti").select("a", "b"))
-        if not fresh.isEmpty():
-            tried = saved(tried.unionByName(confirm(fresh, docs, shingle, percent).groupBy("a", "b").agg(F.max("same").alias("same"))))
-        elif seen.filter("more").isEmpty():
-            break
-        else:
-            partners *= 8
+    tried = confirm(saved(_likely(pairs, sets, percent)), docs, shingle, percent)
+    links = saved(tried.filter("same").select("a", "b").distinct())
+    linked = components(links)
+    comps = saved(members.select("rep").distinct().join(linked, F.col("rep") == F.col("id"), "left").select("rep", F.coalesce("component", "rep").alias("comp")))
+    spread = members.select("key", "band", "rep").join(comps, "rep")
+    mixed = spread.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a <> _b").select("key")
+    lists = saved(_lists(spread.join(mixed, "key").join(sets.select("rep", "n", "sig", "bands"), "rep"), percent))
+    if not lists.isEmpty():
+        linked = components(links.unionByName(_linked_lists(lists, comps, sets, docs, shingle, percent)))
     classes = sets.join(linked, sets["rep"] == linked["id"], "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("_c"))
     return signed.select("id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"], "left").select(
         F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("_c", "id")).alias("component_id")
