@@ -31,7 +31,7 @@ from docfacts.llm.wordhash import column, mix, pieces
 #: Words whose counts are broadcast (16 bytes each) and bound on bigrams scored from a broadcast.
 FREQUENT, HOT = 1 << 20, 1 << 16  # every word of a hot bigram is a frequent one, as FREQUENT is over twice HOT
 #: Tokens and documents of a batch; text of a bucket.
-BATCH_TOKENS, BATCH_DOCS, BUCKET_BYTES = 1_500_000, 60_000, 24 << 20
+BATCH_TOKENS, BATCH_DOCS, BUCKET_BYTES = 1_000_000, 60_000, 8 << 20
 #: Buckets of context frequency; steps of the grid that deleted counts are summed on, per power of two; rounds of the estimation.
 CONTEXTS, GRID, ROUNDS = 18, 8, 60
 BEGIN, END = np.uint64(1), np.uint64(2)
@@ -45,15 +45,44 @@ def _bucket(c: np.ndarray) -> np.ndarray:
 
 def _lookup(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Places of hashes in ascending ``keys``, -1 where absent."""
-    if not len(keys):
-        return np.full(len(wanted), -1, np.int64)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, at, -1)
+    return Places(keys)(wanted)
+
+
+class Places:
+    """Finds hashes in ascending ``keys``; an index over their first bits leads to about one key at a time."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        bits = max(4, len(keys).bit_length() + 1)
+        self.shift = np.uint64(64 - bits)
+        self.at = np.searchsorted(keys >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def __call__(self, wanted: np.ndarray) -> np.ndarray:
+        out = np.full(len(wanted), -1, np.int64)
+        if not len(self.keys):
+            return out
+        first = (wanted >> self.shift).astype(np.int64)
+        at, end = self.at[first], self.at[first + 1]
+        left = None
+        while True:
+            near = np.minimum(at, len(self.keys) - 1)
+            hit = (self.keys[near] == (wanted if left is None else wanted[left])) & (at < end)
+            if left is None:
+                out[hit] = near[hit]
+                left = np.flatnonzero(~hit & (at + 1 < end))
+                at, end = at[left], end[left]
+            else:
+                out[left[hit]] = near[hit]
+                on = ~hit & (at + 1 < end)
+                left, at, end = left[on], at[on], end[on]
+            if not len(left):
+                return out
+            at = at + 1
 
 
 def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order that sorts, starts of equal keys in it)."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     k = keys[order]
     return order, np.flatnonzero(np.concatenate((np.ones(min(1, len(k)), bool), k[1:] != k[:-1])))
 
@@ -150,9 +179,9 @@ def frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     return word[order], n[order]
 
 
-def _coded(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+def _coded(h: np.ndarray, known: Places) -> np.ndarray:
     """Words as their places among the known ones; the others keep their hash (its highest bit is set)."""
-    at = _lookup(known, h)
+    at = known(h)
     return np.where(at >= 0, at.astype(np.uint64), h)
 
 
@@ -192,8 +221,9 @@ def answers(docs: DataFrame, counts: DataFrame, shared, word_buckets: int, train
 
     def ask(batches):
         s = shared.value
+        known = Places(s.known)
         for _, _, h, row in tokens(batches, train_only):
-            code = _coded(h, s.known)
+            code = _coded(h, known)
             prev = _contexts(code, row, s.begin)
             some = np.flatnonzero((code >= _TAIL) | (prev >= _TAIL))
             pb = _pair_bucket(_pair(prev[some], code[some]), s.buckets)
@@ -242,17 +272,18 @@ def send(docs: DataFrame, shared, scoring: bool) -> DataFrame:
 
     def emit(batches):
         s = shared.value
+        known, hot = Places(s.known), Places(s.hot)
         part = TaskContext.get().partitionId() if TaskContext.get() else 0
         for turn, (ids, train, h, row) in enumerate(tokens(batches, train_only=not scoring)):
             batch = part << 32 | turn
-            code = _coded(h, s.known)
+            code = _coded(h, known)
             prev = _contexts(code, row, s.begin)
             p = _pair(prev, code)
             if scoring:
                 common = code < _TAIL
                 c = np.where(common, s.n[np.where(common, code, 0).astype(np.int64)], 0)
                 base = np.where(common, np.log10((c + 1) / (s.total + s.kinds + 1)), 0.0)
-                at = _lookup(s.hot, p)
+                at = hot(p)
                 logs = np.where(at >= 0, s.hot_log[np.maximum(at, 0)] if len(s.hot) else 0.0, 0.0)
                 sums = [np.bincount(row, x, len(ids)) for x in (np.ones(len(row)), c > 0, base, logs)]
                 plain = [ids.fill_null(0).to_numpy(zero_copy_only=False).tobytes(), *(x.tobytes() for x in sums), np.stack((train, ids.is_null().to_numpy(zero_copy_only=False))).astype(np.uint8).tobytes()]
