@@ -34,7 +34,7 @@ WORD_CHARS = 24
 #: Pseudo-count of each piece; share of a character that is no piece among all unknown characters.
 PRIOR, UNKNOWN_SHARE = 0.02, 1e-4
 #: Words whose scores a task keeps.
-KEPT_WORDS = 1 << 20
+KEPT_WORDS = 1 << 19
 
 
 @dataclass
@@ -62,8 +62,8 @@ def by_length(strings: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     order = np.argsort(lens, kind="stable")
     edges = np.flatnonzero(np.diff(lens[order], prepend=-1))
     for a, b in zip(edges, np.append(edges[1:], len(order)), strict=True):
-        for lo in range(a, b, 8192):
-            at = order[lo : min(b, lo + 8192)]
+        for lo in range(a, b, 4096):
+            at = order[lo : min(b, lo + 4096)]
             n = int(lens[at[0]])
             yield at, np.frombuffer("".join(strings[i] for i in at).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(at), n)
 
@@ -189,9 +189,8 @@ def predicted(df: DataFrame, model: Model | None, text: str = "text") -> Column:
                     if len(known) + len(new) > KEPT_WORDS:
                         known, logs, new = known[:0], logs[:0], np.arange(len(keys))
                     fresh = log_probs(m, [raw[s:e].decode() for s, e in zip(words.start[first[new]].tolist(), words.end[first[new]].tolist(), strict=True)])
-                    known, logs = np.concatenate((known, keys[new])), np.concatenate((logs, fresh))
-                    order = np.argsort(known, kind="stable")
-                    known, logs = known[order], logs[order]
+                    place = np.searchsorted(known, keys[new])
+                    known, logs = np.insert(known, place, keys[new]), np.insert(logs, place, fresh, axis=0)
                 each = logs[np.searchsorted(known, keys)][inverse]
                 some = np.flatnonzero(words.counts)
                 total[a + some] += np.add.reduceat(each, words.first[some])
