@@ -260,11 +260,21 @@ _SENT_TYPES = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 6]
 _SENT_SCHEMA = "bucket int, batch long, kind int, h binary, w binary, tail binary, train binary, times binary, docs binary"
 
 
-def _packed(s: _Shared, b: int, batch: int, h, w, train, times, docs) -> tuple:
-    """A row of bigrams: words as 32-bit places, uncommon ones after the common ones in a list of their own."""
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit numbers byte by byte, all lowest bytes first: runs of equal bytes compress."""
+    return np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
+
+def _codes(s: _Shared, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bigrams as 32-bit places, uncommon words after the common ones in a list of their own: (order, steps of context places in that order, word places, the list)."""
     tail = np.unique(np.concatenate((h[h >= _TAIL], w[w >= _TAIL])))
-    codes = [np.where(x >= _TAIL, len(s.known) + np.searchsorted(tail, x), x).astype(np.uint32).tobytes() for x in (h, w)]
-    return b, batch, 0, *codes, tail.tobytes(), train.astype(np.uint32).tobytes(), times.astype(np.uint32).tobytes(), docs.astype(np.uint16).tobytes()
+    ch, cw = (np.where(x >= _TAIL, np.uint64(len(s.known)) + np.searchsorted(tail, x).astype(np.uint64), x) for x in (h, w))
+    order = np.argsort(ch << np.uint64(32) | cw)
+    return order, np.diff(ch[order], prepend=np.uint64(0)), cw[order], tail
 
 
 def send(docs: DataFrame, shared, scoring: bool) -> DataFrame:
@@ -299,8 +309,12 @@ def send(docs: DataFrame, shared, scoring: bool) -> DataFrame:
             edges = np.append(starts, len(order))
             rows = []
             for b, i in _split(_pair_bucket(p[first], s.buckets), s.buckets):
-                inside = order[np.repeat(edges[i] - np.concatenate(([0], np.cumsum(times[i])[:-1])), times[i]) + np.arange(times[i].sum())] if scoring else order[:0]
-                rows.append(_packed(s, b, batch, prev[first[i]], code[first[i]], many[i], times[i] if scoring else times[:0], row[inside]))
+                by, steps, cw, tail = _codes(s, prev[first[i]], code[first[i]])
+                i = i[by]
+                held = times[i]
+                inside = order[np.repeat(edges[i] - np.concatenate(([0], np.cumsum(held)[:-1])), held) + np.arange(held.sum())] if scoring else order[:0]
+                blobs = _planes(steps), _planes(cw), tail.tobytes(), _planes(many[i]), _planes(held if scoring else held[:0]), row[inside].astype(np.uint16).tobytes()
+                rows.append((b, batch, 0, *blobs))
                 if len(rows) == 64:
                     yield _batch(rows, _SENT, _SENT_TYPES)
                     rows = []
@@ -315,14 +329,13 @@ def _bucket_counts(s: _Shared, sent: pa.Table, told: pa.Table):
     h, w, lens = [], [], []
     for row in zip(*(sent[c].to_pylist() for c in ("h", "w", "tail")), strict=True):
         tail = np.frombuffer(row[2], np.uint64)
-        for out, blob in ((h, row[0]), (w, row[1])):
-            x = np.frombuffer(blob, np.uint32).astype(np.uint64)
+        for out, x in ((h, np.cumsum(_from_planes(row[0]), dtype=np.uint64)), (w, _from_planes(row[1]).astype(np.uint64))):
             far = x >= len(s.known)
             x[far] = tail[(x[far] - np.uint64(len(s.known))).astype(np.int64)]
             out.append(x)
         lens.append(len(h[-1]))
     h, w = np.concatenate(h), np.concatenate(w)
-    train = _to(np.uint32, sent["train"].to_pylist()).astype(np.int64)
+    train = np.concatenate([_from_planes(x) for x in sent["train"].to_pylist()]).astype(np.int64)
     order, starts = _groups(_pair(h, w))
     sums = np.add.reduceat(train[order], starts)
     pair = np.empty(len(h), np.int64)
@@ -446,7 +459,7 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", is_train=None)
             base = np.where(far, np.log10((cw + 1) / (s.total + s.kinds + 1)), 0.0)
             at = 0
             for batch, times, docs_, m in zip(a["batch"].to_pylist(), a["times"].to_pylist(), a["docs"].to_pylist(), lens, strict=True):
-                t, d = np.frombuffer(times, np.uint32), np.frombuffer(docs_, np.uint16)
+                t, d = _from_planes(times), np.frombuffer(docs_, np.uint16)
                 sl = slice(at, at + m)
                 at += m
                 each = np.repeat(np.arange(m), t)
@@ -456,7 +469,7 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", is_train=None)
                 rare = np.unique(d[tail])
                 of = np.searchsorted(rare, d[tail])
                 out.append((
-                    batch, 0, some.tobytes(), np.bincount(where, logs[sl][each], len(some)).tobytes(), rare.tobytes(),
+                    batch, 0, some.tobytes(), np.bincount(where, logs[sl][each], len(some)).astype(np.float32).tobytes(), rare.tobytes(),
                     np.bincount(of, base[sl][each][tail], len(rare)).tobytes(), np.bincount(of, (cw[sl] > 0)[each][tail], len(rare)).tobytes(), b"",
                 ))
         return pa.table([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int32(), *[pa.binary()] * 6))], ["batch", "kind", *"abcdef"])
@@ -467,7 +480,7 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", is_train=None)
         n_tokens, known_, base, logs = (np.frombuffer(rows[0][c], np.float64).copy() for c in "bcde")
         flags = np.frombuffer(rows[0]["f"], np.uint8).reshape(2, -1).astype(bool)
         for r in sorted(rows[1:], key=lambda r: (r["a"], r["b"])):  # in one order, so that sums agree from run to run
-            np.add.at(logs, np.frombuffer(r["a"], np.uint16), np.frombuffer(r["b"], np.float64))
+            np.add.at(logs, np.frombuffer(r["a"], np.uint16), np.frombuffer(r["b"], np.float32))
             rare = np.frombuffer(r["c"], np.uint16)
             np.add.at(base, rare, np.frombuffer(r["d"], np.float64))
             np.add.at(known_, rare, np.frombuffer(r["e"], np.float64))
