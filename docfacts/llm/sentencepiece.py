@@ -88,13 +88,15 @@ def _pieces(texts: pa.Array) -> Iterator[tuple[int, int, Units]]:
 
 
 def distinct_units(docs: DataFrame) -> DataFrame:
-    """(unit, n) of a column ``text``."""
+    """(h, unit, n) of a column ``text``: each unit's hash, text and number of uses, saved."""
 
     def put(found: list[tuple]) -> pa.RecordBatch:
         keys, n = (np.concatenate([f[i] for f in found]) for i in (0, 1))
         strings = [s for f in found for s in f[2]]
-        _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        return pa.RecordBatch.from_arrays([pa.array([strings[i] for i in first], pa.binary()).cast(pa.string()), pa.array(np.bincount(inverse, n).astype(np.int64))], ["unit", "n"])
+        keys, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(keys.view(np.int64)), pa.array([strings[i] for i in first], pa.binary()).cast(pa.string()), pa.array(np.bincount(inverse, n).astype(np.int64))], ["h", "unit", "n"]
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, held = [], 0
@@ -104,43 +106,51 @@ def distinct_units(docs: DataFrame) -> DataFrame:
                 raw = units.data.tobytes()
                 found.append((keys, n, [raw[s:e] for s, e in zip(units.start[first].tolist(), units.end[first].tolist(), strict=True)]))
                 held += len(keys)
-                if held > 1_500_000:
+                if held > 500_000:
                     yield put(found)
                     found, held = [], 0
         if found:
             yield put(found)
 
-    return docs.select("text").mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    return saved(docs.select("text").mapInArrow(run, "h long, unit string, n long").groupBy("h", "unit").agg(F.sum("n").alias("n")))
 
 
 def lattice(units: DataFrame, path: str = vocabulary.DEFAULT) -> DataFrame:
-    """``units`` (unit, n) to (unit, n, ids, score): the best path of each unit through its lattice."""
+    """``units`` (h, unit, n) to (unit, n, ids, score): the best path of each unit through its lattice.
+
+    Units are dealt by ``h`` once; the exploded substrings stay where they are, and an
+    edge is one long (end, start, piece), so grouping them moves and sorts little.
+    """
     spark = units.sparkSession
     pieces = vocabulary.load(path)
     worst = min(s for _, _, s in pieces if s > -1e8)
-    unknown = worst - UNKNOWN_COST
     longest = max(len(p) for _, p, _ in pieces)
-    table = spark.createDataFrame([(p.replace(vocabulary.SPACE, " "), i, float(s)) for i, p, s in pieces], "piece string, id int, score double")
+    scores = [worst - UNKNOWN_COST] + [0.0] * (max(i for i, _, _ in pieces) + 1)  # by id + 1; 0 is a character that is no piece
+    for i, _, s in pieces:
+        scores[i + 1] = float(s)
+    score_of = F.lit(scores)
+    table = spark.createDataFrame([(p.replace(vocabulary.SPACE, " "), i) for i, p, _ in pieces], "piece string, id int")
+    dealt = units.repartition("h")
     spans = (
-        units.withColumn("h", F.xxhash64("unit"))
-        .withColumn("s", F.explode(F.sequence(F.lit(1), F.length("unit"))))
+        dealt.withColumn("s", F.explode(F.sequence(F.lit(1), F.length("unit"))))
         .withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("unit") - F.col("s") + 1))))
-        .withColumn("piece", F.substring("unit", F.col("s"), F.col("k")))
+        .select("h", "s", "k", F.substring("unit", F.col("s"), F.col("k")).alias("piece"))
     )
     edges = spans.join(F.broadcast(table), "piece", "left").filter("id is not null or k = 1")  # the table has some 32 thousand rows
-    edge = F.struct((F.col("s") + F.col("k") - 1).alias("e"), (F.col("s") - 1).alias("s"), F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(unknown)).alias("score"))
-    grouped = edges.groupBy("h", "unit", "n").agg(F.collect_list(edge).alias("edges"))
+    end, start = (F.col("s") + F.col("k") - 1).cast("long"), (F.col("s") - 1).cast("long")
+    edge = F.shiftleft(end, 40).bitwiseOR(F.shiftleft(start, 32)).bitwiseOR((F.coalesce("id", F.lit(-1)) + 1).cast("long"))
+    grouped = edges.select("h", edge.alias("edge")).groupBy("h").agg(F.collect_list("edge").alias("edges")).join(dealt, "h")
 
     def best(upto: Column, e: Column) -> Column:
         """The best way to position e, from the best ways to the positions before it."""
-        ways = F.transform(
-            F.filter("edges", lambda x: x["e"] == e),
-            lambda x: F.struct((F.element_at(upto, x["s"] + 1)["score"] + x["score"]).alias("score"), (-x["s"]).alias("back"), x["id"].alias("id")),
-        )
-        return F.concat(upto, F.array(F.array_max(ways)))
+        def way(x):
+            s, i = F.shiftright(x, 32).bitwiseAND(F.lit(255)).cast("int"), x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+            return F.struct((F.element_at(upto, s + 1)["score"] + F.element_at(score_of, i + 1)).alias("score"), (-s).alias("back"), (i - 1).alias("id"))
 
-    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back"), F.lit(-1).alias("id")))
-    chart = F.aggregate(F.sequence(F.lit(1), F.length("unit")), start, best)
+        return F.concat(upto, F.array(F.array_max(F.transform(F.filter("edges", lambda x: F.shiftright(x, 40) == e), way))))
+
+    first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back"), F.lit(-1).alias("id")))
+    chart = F.aggregate(F.sequence(F.lit(1), F.length("unit")), first, best)
     folded = grouped.select("unit", "n", chart.alias("chart"))
     octets = F.array(*map(F.lit, vocabulary.byte_ids(path)))
 
@@ -197,7 +207,7 @@ def _take(keys: np.ndarray, lens: np.ndarray, starts: np.ndarray, flat: np.ndarr
 
 
 def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = vocabulary.DEFAULT, most: int = LEXICON_ROWS) -> DataFrame:
-    """(id, ids): the piece ids of each text.
+    """(id, ids, exact): the piece ids of each text, and whether decoding them gives the text back.
 
     Defined cases: a null text has null ids; an empty text is one space mark; a
     null id is an id; rows that repeat an id are rows of their own; an empty table
@@ -241,6 +251,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = v
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = shared.value
         starts = have.starts()
+        spelling = spell.value
         for batch in batches:
             texts, rare = column(batch, "text"), column(batch, "rare")
             null = texts.is_null()
@@ -261,21 +272,38 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = v
                 ends = np.concatenate(([0], np.cumsum(size)))
                 ids = flat[np.repeat(begins[at] - ends[:-1], size) + np.arange(ends[-1])]
                 lists = pa.ListArray.from_arrays(pa.array(ends[units.first].astype(np.int32)), pa.array(ids), mask=null.slice(a, b - a))
-                yield pa.RecordBatch.from_arrays([column(batch, "id").slice(a, b - a), texts.slice(a, b - a), lists], ["id", "text", "ids"])
+                data, cuts = _decoded(spelling, ids, ends[units.first])
+                same = [bytes(data[x:y]) == bytes(units.data[o:p]) for x, y, o, p in zip(cuts[:-1], cuts[1:], units.offsets[:-1], units.offsets[1:], strict=True)]
+                exact = pa.array(same, pa.bool_(), mask=null.slice(a, b - a).to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([column(batch, "id").slice(a, b - a), lists, exact], ["id", "ids", "exact"])
 
-    return rows.select("id", "text", "rare").mapInArrow(run, "id long, text string, ids array<int>").select(F.col("id").alias(key), F.col("text").alias("_text"), "ids")
+    spell = spark.sparkContext.broadcast(_spelling(path))
+    return rows.select("id", "text", "rare").mapInArrow(run, "id long, ids array<int>, exact boolean").select(F.col("id").alias(key), "ids", "exact")
 
 
-def decoder(spark: SparkSession, path: str = vocabulary.DEFAULT):
-    """A function from a column of piece ids to one of texts."""
+def _spelling(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where each piece's bytes begin (one more at the end), and all bytes end to end."""
     spelled = {i: p.replace(vocabulary.SPACE, " ").encode() for i, p, _ in vocabulary.load(path)} | {i: bytes([b]) for b, i in enumerate(vocabulary.byte_ids(path))}
     n = max(spelled) + 1
     lens = np.array([len(spelled.get(i, b"")) for i in range(n)])
-    shared = spark.sparkContext.broadcast((np.concatenate(([0], np.cumsum(lens))), np.frombuffer(b"".join(spelled.get(i, b"") for i in range(n)), np.uint8)))
+    return np.concatenate(([0], np.cumsum(lens))), np.frombuffer(b"".join(spelled.get(i, b"") for i in range(n)), np.uint8)
+
+
+def _decoded(spelling, ids: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of piece ids end to end, and where those of each row begin, for rows from ``edges`` to ``edges``."""
+    at, data = spelling
+    begin = at[ids]
+    size = at[ids + 1] - begin
+    ends = np.concatenate(([0], np.cumsum(size)))
+    return data[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])], ends[edges]
+
+
+def decoder(spark: SparkSession, path: str = vocabulary.DEFAULT):
+    """A function from a column of piece ids to one of texts."""
+    shared = spark.sparkContext.broadcast(_spelling(path))
 
     @arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        at, data = shared.value
         for lists in batches:
             null = lists.is_null()
             lens = np.asarray(pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False), np.int64)
@@ -285,12 +313,8 @@ def decoder(spark: SparkSession, path: str = vocabulary.DEFAULT):
             row = 0
             while row < len(lens):  # some rows at a time
                 upto = max(row + 1, int(np.searchsorted(edges, edges[row] + 500_000, "right")) - 1)
-                ids = flat[edges[row] : edges[upto]]
-                size = at[ids + 1] - at[ids]
-                ends = np.concatenate(([0], np.cumsum(size)))
-                raw = data[np.repeat(at[ids] - ends[:-1], size) + np.arange(ends[-1])].tobytes()
-                cuts = ends[edges[row : upto + 1] - edges[row]].tolist()
-                parts += [raw[a + 1 : b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]  # without the space before the text
+                data, cuts = _decoded(shared.value, flat[edges[row] : edges[upto]], edges[row : upto + 1] - edges[row])
+                parts += [data[a + 1 : b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]  # without the space before the text
                 row = upto
             yield pa.array(parts, pa.binary(), mask=null.to_numpy(zero_copy_only=False)).cast(pa.string())
 
@@ -302,5 +326,4 @@ def op3(spark, sf_dir: str) -> DataFrame:
     from docfacts.llm.common import read
 
     coded = encode(read(spark, sf_dir, "documents"))
-    decode = decoder(spark)
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", decode("ids").eqNullSafe(F.col("_text")).alias("exact"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "exact")
