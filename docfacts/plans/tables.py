@@ -57,7 +57,7 @@ def q_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TAX_SQL = f"""WITH {HEADER_SQL},
-p AS (SELECT l_orderkey AS factura_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_tax) AS linea, l_returnflag AS codjur, round(l_extendedprice * l_tax, 2) AS importe
+p AS (SELECT l_orderkey AS factura_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_tax) AS linea, l_returnflag AS codjur, CAST(round(CAST(l_extendedprice AS DECIMAL(15,2)) * CAST(l_tax AS DECIMAL(4,2)), 2) AS DECIMAL(18,2)) AS importe
       FROM lineitem WHERE l_tax > 0)
 SELECT factura_id, linea, codjur, importe, letra FROM p JOIN h ON h.id = factura_id
 """
@@ -68,7 +68,7 @@ def q_tax(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perception lines with an amount, numbered anew after the filter."""
     l = table(spark, sf_dir, "lineitem").filter("l_tax > 0")  # noqa: E741
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_tax"]
-    p = staging.number_lines(l.select(F.col("l_orderkey").alias("factura_id"), *order, F.col("l_returnflag").alias("codjur"), F.round(F.col("l_extendedprice") * F.col("l_tax"), 2).alias("importe")), "factura_id", [F.col(c) for c in order])
+    p = staging.number_lines(l.select(F.col("l_orderkey").alias("factura_id"), *order, F.col("l_returnflag").alias("codjur"), F.round(F.col("l_extendedprice").cast("decimal(15,2)") * F.col("l_tax").cast("decimal(4,2)"), 2).cast("decimal(18,2)").alias("importe")), "factura_id", [F.col(c) for c in order])
     return staging.detail_view(p, headers(spark, sf_dir), ["factura_id", "linea", "codjur", "importe"], ["letra"])
 
 
