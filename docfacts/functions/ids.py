@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docfacts.functions.text import let
+
 # Weights of the tax id's check digit; document codes by type and letter.
 CHECK_WEIGHTS = (5, 4, 3, 2, 7, 6, 5, 4, 3, 2)
 CODES = {
@@ -43,14 +45,15 @@ def code_text(c: Column, width: int) -> Column:
 
 
 def check_digit(first_ten: Column) -> Column:
-    total = sum((F.substring(first_ten, i + 1, 1).try_cast("int") * w for i, w in enumerate(CHECK_WEIGHTS[1:], 1)), F.substring(first_ten, 1, 1).try_cast("int") * CHECK_WEIGHTS[0])
-    r = 11 - total % 11
-    return F.when(r == 11, 0).when(r == 10, 9).otherwise(r)
+    def total(x):
+        return sum((F.substring(x, i + 1, 1).try_cast("int") * w for i, w in enumerate(CHECK_WEIGHTS[1:], 1)), F.substring(x, 1, 1).try_cast("int") * CHECK_WEIGHTS[0])
+
+    return let(11 - let(first_ten, total) % 11, lambda r: F.when(r == 11, 0).when(r == 10, 9).otherwise(r))
 
 
 def valid_tax_id(d: Column) -> Column:
     """Eleven digits with a right check digit."""
-    return F.coalesce(d.rlike(r"^\d{11}$") & (check_digit(F.substring(d, 1, 10)) == F.substring(d, 11, 1).try_cast("int")), F.lit(False))
+    return F.coalesce(let(d, lambda x: x.rlike(r"^\d{11}$") & (check_digit(x) == F.substring(x, 11, 1).try_cast("int"))), F.lit(False))
 
 
 def format_tax_id(c: Column) -> Column:

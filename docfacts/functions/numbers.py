@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docfacts.functions.text import let
+
 #: Fixed value: an amount token; optional sign, grouped or plain digits, optional decimals.
 AMOUNT = r"[-+]?(?:\d{1,3}(?:[.,]\d{3})+|\d+)(?:[.,]\d+)?"
 MONEY = "decimal(18,2)"
@@ -21,7 +23,7 @@ def _dotted(raw: Column) -> Column:
 def amount(c: Column) -> Column:
     """Decimal with two places, half to even; null if there is no number."""
     raw = F.regexp_replace(c.cast("string"), r"[^0-9,.\-]", "")
-    return F.bround(_dotted(raw).try_cast("decimal(38,10)"), 2).cast(MONEY)
+    return F.bround(let(raw, _dotted).try_cast("decimal(38,10)"), 2).cast(MONEY)
 
 
 def amount_or_zero(c: Column) -> Column:

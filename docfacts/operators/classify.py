@@ -39,29 +39,31 @@ def by_words(body: Column) -> Column:
 
 def classified(body: Column, code: Column | None = None) -> Column:
     """Struct (tipo_documento, confianza, fuente, metodo, evidencia, requiere_revision); ``code`` is the payload's document code, '' if it has none, null without payload."""
-    kind = by_words(body)
-    score = F.when(kind == "ILEGIBLE", 0)
-    for k, n in CONFIDENCE.items():
-        score = score.when(kind == k, n)
-    score = score.otherwise(60)
-    up = F.upper(body)
-    at = F.when(kind == "ILEGIBLE", 0)
-    for k, words in KEYWORDS.items():
-        hit = F.lit(0)
-        for w in reversed(words):
-            hit = F.when(up.rlike(f"(?U){w}"), 0).otherwise(hit) if w.startswith("\\b") else F.when(F.contains(up, F.lit(w)), F.instr(up, w) * 100 + len(w)).otherwise(hit)
-        at = at.when(kind == k, hit)
-    at = at.otherwise(0)
-    start = F.greatest(F.floor(at / 100) - 10, F.lit(1)).cast("int")
-    near = F.substring(body, start, (F.floor(at / 100) - start + at % 100 + 30).cast("int"))
-    shown = (
-        F.when(kind == "ILEGIBLE", "no se pudo extraer texto del archivo").when(kind == "OTRO_DOCUMENTO", text.cut_words(body, 80)).when(at > 0, text.cut_words(near, 60)).otherwise(text.cut_words(body, 60))
-    )
-    own = F.struct(
-        kind.alias("tipo_documento"), score.alias("confianza"), F.when(kind == "ILEGIBLE", "empty").otherwise("regex").alias("fuente"),
-        F.when(kind == "ILEGIBLE", "no_text").when(kind == "OTRO_DOCUMENTO", "no_matching_keywords").otherwise(F.concat(F.lit("regex_"), F.lower(kind))).alias("metodo"),
-        shown.alias("evidencia"), kind.isin(*NO_INVOICE).alias("requiere_revision"),
-    )
+    def record(x):
+        body, up, kind = x["body"], x["up"], x["kind"]
+        score = F.when(kind == "ILEGIBLE", 0)
+        at = F.when(kind == "ILEGIBLE", 0)
+        for k, words in KEYWORDS.items():
+            score = score.when(kind == k, CONFIDENCE[k])
+            hit = F.lit(0)
+            for w in reversed(words):
+                hit = F.when(up.rlike(f"(?U){w}"), 0).otherwise(hit) if w.startswith("\\b") else F.when(F.contains(up, F.lit(w)), F.instr(up, w) * 100 + len(w)).otherwise(hit)
+            at = at.when(kind == k, hit)
+
+        def shown(at):
+            start = F.greatest(F.floor(at / 100) - 10, F.lit(1)).cast("int")
+            near = F.substring(body, start, (F.floor(at / 100) - start + at % 100 + 30).cast("int"))
+            return (
+                F.when(kind == "ILEGIBLE", "no se pudo extraer texto del archivo").when(kind == "OTRO_DOCUMENTO", text.cut_words(body, 80)).when(at > 0, text.cut_words(near, 60)).otherwise(text.cut_words(body, 60))
+            )
+
+        return F.struct(
+            kind.alias("tipo_documento"), score.otherwise(60).alias("confianza"), F.when(kind == "ILEGIBLE", "empty").otherwise("regex").alias("fuente"),
+            F.when(kind == "ILEGIBLE", "no_text").when(kind == "OTRO_DOCUMENTO", "no_matching_keywords").otherwise(F.concat(F.lit("regex_"), F.lower(kind))).alias("metodo"),
+            text.let(at.otherwise(0), shown).alias("evidencia"), kind.isin(*NO_INVOICE).alias("requiere_revision"),
+        )
+
+    own = text.let(F.struct(body.alias("body"), F.upper(body).alias("up"), by_words(body).alias("kind")), record)
     if code is None:
         return own
     mapped = ids.type_of_code(code)

@@ -71,7 +71,7 @@ def bootstrap_rules(lines: DataFrame, suppliers: DataFrame, min_score: float, mi
 
 
 BOOTSTRAP_SQL = SCORED + """
-x AS (SELECT * FROM h WHERE score >= 34 AND n_provider >= 3)
+x AS (SELECT * FROM h WHERE score >= 18 AND n_provider >= 3)
 SELECT provider, substr(trim(coalesce(s_name, '')), 1, 200) AS provider_name, '' AS pattern, account, 50 AS priority, score AS confidence, n_lines AS used,
        CASE WHEN score >= 95 THEN 0 ELSE 1 END AS needs_review, 'Bootstrap: ' || n_lines || '/' || n_provider || ' lines in the dominant account.' AS notes
 FROM x LEFT JOIN supplier ON s_suppkey = provider
@@ -80,7 +80,7 @@ FROM x LEFT JOIN supplier ON s_suppkey = provider
 
 @query("dominant_account_bootstrap", BOOTSTRAP_SQL)
 def q_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bootstrap_rules(history(spark, sf_dir), table(spark, sf_dir, "supplier"), 34, 3)
+    return bootstrap_rules(history(spark, sf_dir), table(spark, sf_dir, "supplier"), 18, 3)
 
 
 def score_band(score):
@@ -100,10 +100,10 @@ def q_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.groupBy(score_band(F.col("score")).alias("band")).agg(F.count("*").alias("n")).orderBy(F.desc("band"))
 
 
-@query("rule_candidates_count", SCORED + "z AS (SELECT 1) SELECT count(*) AS candidates FROM h WHERE score >= 34 AND n_provider >= 3")
+@query("rule_candidates_count", SCORED + "z AS (SELECT 1) SELECT count(*) AS candidates FROM h WHERE score >= 18 AND n_provider >= 3")
 def q_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = dominant_account(history(spark, sf_dir), "l_suppkey", account_key(), "l_extendedprice")
-    return best.agg(F.count_if((F.col("score") >= 34) & (F.col("n_provider") >= 3)).alias("candidates"))
+    return best.agg(F.count_if((F.col("score") >= 18) & (F.col("n_provider") >= 3)).alias("candidates"))
 
 
 def match_rules(docs: DataFrame, rules: DataFrame, doc_id: str) -> DataFrame:

@@ -224,7 +224,9 @@ def q_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = payload.decode(F.col("url"))
     said = F.when(F.col("id") % 2 == 0, (extract.total(c) + 1).cast("string")).otherwise(extract.total(c).cast("string"))
     pairs = {"proveedor_cuit": (ids.format_tax_id(q["cuit"]), extract.issuer_tax_id(c)), "fecha_emision": (dates.iso_date(q["fecha"]), extract.issue_date(c)), "total": (numbers.money_text(q["importe"]), said)}
-    return render.documents(spark, sf_dir).select("id", F.transform(provenance.mismatches(pairs), lambda x: x["campo"]).alias("differ"))
+    rows = render.documents(spark, sf_dir).select("id", *[x.alias(f"{s}_{n}") for n, pair in pairs.items() for s, x in zip("qt", pair, strict=True)])
+    found = provenance.mismatches({n: (F.col(f"q_{n}"), F.col(f"t_{n}")) for n in pairs})
+    return rows.select("id", F.transform(found, lambda x: x["campo"]).alias("differ"))
 
 
 @query("profile_select", _sql("id, CASE WHEN o_custkey % 4 = 0 THEN 'qr_cuit' WHEN o_custkey % 4 = 1 THEN 'alias' WHEN o_custkey % 4 = 2 THEN 'alias_ambiguo' ELSE 'sin_perfil' END AS method, CASE WHEN o_custkey % 4 IN (0, 1) THEN '30000000007' END AS chosen"))
