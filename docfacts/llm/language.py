@@ -164,6 +164,18 @@ def fit(train: DataFrame, path: str = vocabulary.DEFAULT) -> Model | None:
     return Model(langs, np.log([c / total for _, c in shares]), table, probs)
 
 
+def _hashed(rest: Iterator, known: np.ndarray, most: int = 16) -> Iterator[tuple]:
+    """Of the next pieces of text: (first row, hashes and strings of words that aren't known, hashes of all words, words of each row, their start)."""
+    for _, (a, _, words) in zip(range(most), rest):  # noqa: B905  the rest is longer
+        h = words.hashes()
+        keys, first = np.unique(h, return_index=True)
+        if len(known):
+            new = known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] != keys
+            keys, first = keys[new], first[new]
+        raw = words.data.tobytes()
+        yield a, keys, [raw[s:e] for s, e in zip(words.start[first].tolist(), words.end[first].tolist(), strict=True)], h, words.counts, words.first[:-1]
+
+
 def predicted(df: DataFrame, model: Model | None, text: str = "text") -> Column:
     """A struct (lang, score) from a text column: the likeliest language and its posterior probability; ('und', 0) without a letter."""
     col = F.col(text)
@@ -178,22 +190,20 @@ def predicted(df: DataFrame, model: Model | None, text: str = "text") -> Column:
         known, logs = np.zeros(0, np.uint64), np.zeros((0, len(m.langs)))
         for texts in batches:
             total = np.zeros((len(texts), len(m.langs))) + m.shares
-            for a, b, words in pieces(texts, lower=False):
-                if not len(words):
-                    continue
-                keys, first, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
-                at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
-                new = np.flatnonzero(known[at] != keys) if len(known) else np.arange(len(keys))
-                if len(new):
-                    raw = words.data.tobytes()
-                    if len(known) + len(new) > KEPT_WORDS:
-                        known, logs, new = known[:0], logs[:0], np.arange(len(keys))
-                    fresh = log_probs(m, [raw[s:e].decode() for s, e in zip(words.start[first[new]].tolist(), words.end[first[new]].tolist(), strict=True)])
-                    place = np.searchsorted(known, keys[new])
-                    known, logs = np.insert(known, place, keys[new]), np.insert(logs, place, fresh, axis=0)
-                each = logs[np.searchsorted(known, keys)][inverse]
-                some = np.flatnonzero(words.counts)
-                total[a + some] += np.add.reduceat(each, words.first[some])
+            rest = pieces(texts, lower=False)
+            while some := list(_hashed(rest, known)):
+                keys, first = np.unique(np.concatenate([p[1] for p in some]), return_index=True)
+                strings = [s for p in some for s in p[2]]
+                if len(keys):
+                    fresh = log_probs(m, [strings[i].decode() for i in first])
+                    place = np.searchsorted(known, keys)
+                    known, logs = np.insert(known, place, keys), np.insert(logs, place, fresh, axis=0)
+                for a, _, _, h, counts, firsts in some:
+                    filled = np.flatnonzero(counts)
+                    if len(filled):
+                        total[a + filled] += np.add.reduceat(logs[np.searchsorted(known, h)], firsts[filled])
+                if len(known) > KEPT_WORDS:
+                    known, logs = known[:0], logs[:0]
             best = total.argmax(axis=1) if len(total) else np.zeros(0, np.int64)
             score = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1) if len(total) else np.zeros(0)
             yield pa.StructArray.from_arrays([pa.array([m.langs[i] for i in best], pa.string()), pa.array(score)], names=["lang", "score"])
