@@ -116,7 +116,7 @@ def distinct_units(docs: DataFrame) -> DataFrame:
 
 
 def lattice(units: DataFrame, path: str = vocabulary.DEFAULT) -> DataFrame:
-    """``units`` (h, unit, n) to (unit, n, ids, score): the best path of each unit through its lattice.
+    """``units`` (h, unit, n) to (h, unit, n, ids, score): the best path of each unit through its lattice.
 
     Units are dealt by ``h`` once; the exploded substrings stay where they are, and an
     edge is one long (end, start, piece), so grouping them moves and sorts little.
@@ -151,7 +151,7 @@ def lattice(units: DataFrame, path: str = vocabulary.DEFAULT) -> DataFrame:
 
     first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back"), F.lit(-1).alias("id")))
     chart = F.aggregate(F.sequence(F.lit(1), F.length("unit")), first, best)
-    folded = grouped.select("unit", "n", chart.alias("chart"))
+    folded = grouped.select("h", "unit", "n", chart.alias("chart"))
     octets = F.array(*map(F.lit, vocabulary.byte_ids(path)))
 
     def spelled(at: Column, step: Column) -> Column:
@@ -166,38 +166,34 @@ def lattice(units: DataFrame, path: str = vocabulary.DEFAULT) -> DataFrame:
 
     zero = F.struct(F.length("unit").alias("at"), F.array().cast("array<int>").alias("ids"))
     ids = F.aggregate(F.sequence(F.lit(1), F.length("unit")), zero, back)["ids"]
-    return folded.select("unit", "n", ids.alias("ids"), F.element_at("chart", -1)["score"].alias("score"))
+    return folded.select("h", "unit", "n", ids.alias("ids"), F.element_at("chart", -1)["score"].alias("score"))
 
 
 class Lexicon:
     """Units by hash, with their pieces end to end."""
 
-    def __init__(self, table: pa.Table):
-        units = table["unit"].combine_chunks() if table["unit"].num_chunks != 1 else table["unit"].chunk(0)
-        data, offsets = buffers(units, lower=False)
-        self.keys = _hashes(data, offsets)
-        order = np.argsort(self.keys, kind="stable")
-        lists = table["ids"].combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        lens = np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False), np.int64)
-        flat = lists.flatten().to_numpy().astype(np.int32)
-        starts = np.concatenate(([0], np.cumsum(lens)))[:-1]
-        self.keys, self.lens = self.keys[order], lens[order].astype(np.int32)
-        take = np.repeat(starts[order] - np.concatenate(([0], np.cumsum(lens[order])))[:-1], lens[order]) + np.arange(len(flat))
-        self.flat = flat[take]
+    def __init__(self, hashes: np.ndarray, lists: pa.Array | pa.ChunkedArray):
+        if isinstance(lists, pa.ChunkedArray):
+            lists = lists.combine_chunks()
+        order = np.argsort(hashes, kind="stable")
+        lens = np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False), np.int32)
+        starts = np.concatenate(([0], np.cumsum(lens, dtype=np.int64)))[:-1]
+        self.keys, self.lens = hashes[order], lens[order]
+        ends = np.cumsum(self.lens, dtype=np.int64)
+        take = np.repeat(starts[order] - (ends - self.lens), self.lens) + np.arange(ends[-1] if len(ends) else 0)
+        self.flat = lists.flatten().to_numpy().astype(np.int32)[take]
 
     def starts(self) -> np.ndarray:
         return np.concatenate(([0], np.cumsum(self.lens.astype(np.int64))))[:-1]
 
 
-def _hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    whole = Units.__new__(Units)
-    whole.data, whole.start, whole.end = data, offsets[:-1], offsets[1:]
-    return whole.hashes()
+def _loaded(words: DataFrame) -> Lexicon:
+    t = words.select("h", "ids").toArrow()
+    return Lexicon(t["h"].to_numpy().view(np.uint64), t["ids"])
 
 
 def lexicon(docs: DataFrame, path: str = vocabulary.DEFAULT) -> DataFrame:
-    """(unit, n, ids, score) of all units of a column ``text``, saved."""
+    """(h, unit, n, ids, score) of all units of a column ``text``, saved."""
     return saved(lattice(distinct_units(docs), path))
 
 
@@ -217,8 +213,8 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = v
     docs = df.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
     words = lexicon(docs, path)
     if words.count() <= most:
-        shared = spark.sparkContext.broadcast(Lexicon(words.select("unit", "ids").toArrow()))
-        rows = docs.withColumn("rare", F.lit(None).cast("array<struct<unit:string,ids:array<int>>>"))
+        shared = spark.sparkContext.broadcast(_loaded(words))
+        rows = docs.withColumn("rare", F.lit(None).cast("array<struct<h:long,ids:array<int>>>"))
     else:
         # The commonest units that fit: all those used more often than some number of times.
         sizes = words.groupBy(F.log2("n").cast("int").alias("k")).agg(F.count("*").alias("m")).orderBy(F.desc("k")).collect()
@@ -227,8 +223,8 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = v
             if held + r["m"] > most:
                 break
             least, held = r["k"], held + r["m"]
-        shared = spark.sparkContext.broadcast(Lexicon(words.filter(F.log2("n").cast("int") >= least).select("unit", "ids").toArrow()))
-        known = words.filter(F.log2("n").cast("int") < least).select("unit", "ids")
+        shared = spark.sparkContext.broadcast(_loaded(words.filter(F.log2("n").cast("int") >= least)))
+        known = words.filter(F.log2("n").cast("int") < least).select("h", "ids")
 
         def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             have = shared.value
@@ -237,14 +233,12 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = v
                 for a, _, units in _pieces(column(batch, "text")):
                     h = units.hashes()
                     _, hit = _take(have.keys, have.lens, starts, have.flat, h)
-                    far = np.flatnonzero(~hit)
-                    raw = units.data.tobytes()
-                    pairs = {(int(units.doc[i]), raw[units.start[i] : units.end[i]]) for i in far}
-                    rows_ = pa.array([a + d for d, _ in pairs], pa.int64())
-                    yield pa.RecordBatch.from_arrays([column(batch, "id").take(rows_), column(batch, "th").take(rows_), pa.array([u for _, u in pairs], pa.binary()).cast(pa.string())], ["id", "th", "unit"])
-
-        asked = docs.mapInArrow(missing, "id long, th long, unit string").distinct()
-        told = asked.join(known, "unit").groupBy("id", "th").agg(F.collect_list(F.struct("unit", "ids")).alias("rare"))
+                    pairs = np.unique(np.stack((units.doc[~hit].astype(np.uint64), h[~hit])), axis=1)
+                    rows_ = pa.array(pairs[0].astype(np.int64) + a)
+                    yield pa.RecordBatch.from_arrays([column(batch, "id").take(rows_), column(batch, "th").take(rows_), pa.array(pairs[1].view(np.int64))], ["id", "th", "h"])
+
+        asked = docs.mapInArrow(missing, "id long, th long, h long").distinct()
+        told = asked.join(known, "h").groupBy("id", "th").agg(F.collect_list(F.struct("h", "ids")).alias("rare"))
         same = (F.col("d.id").eqNullSafe(F.col("t.id"))) & (F.col("d.th") == F.col("t.th"))
         rows = docs.alias("d").join(told.alias("t"), same, "left").select("d.id", "d.text", "t.rare")
 
@@ -260,7 +254,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = v
                 keys, lens, begins, flat = have.keys, have.lens, starts, have.flat
                 own = rare.slice(a, b - a).flatten()
                 if len(own):
-                    more = Lexicon(pa.table({"unit": own.field("unit"), "ids": own.field("ids")}))
+                    more = Lexicon(own.field("h").to_numpy().view(np.uint64), own.field("ids"))
                     begins = np.concatenate((begins, more.starts() + len(flat)))
                     keys, lens, flat = np.concatenate((keys, more.keys)), np.concatenate((lens, more.lens)), np.concatenate((flat, more.flat))
                     order = np.argsort(keys, kind="stable")
