@@ -170,26 +170,26 @@ def lattice(units: DataFrame, path: str = vocabulary.DEFAULT) -> DataFrame:
 
 
 class Lexicon:
-    """Units by hash, with their pieces end to end."""
-
-    def __init__(self, hashes: np.ndarray, lists: pa.Array | pa.ChunkedArray):
-        if isinstance(lists, pa.ChunkedArray):
-            lists = lists.combine_chunks()
-        order = np.argsort(hashes, kind="stable")
-        lens = np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False), np.int32)
-        starts = np.concatenate(([0], np.cumsum(lens, dtype=np.int64)))[:-1]
-        self.keys, self.lens = hashes[order], lens[order]
-        ends = np.cumsum(self.lens, dtype=np.int64)
-        take = np.repeat(starts[order] - (ends - self.lens), self.lens) + np.arange(ends[-1] if len(ends) else 0)
-        self.flat = lists.flatten().to_numpy().astype(np.int32)[take]
-
-    def starts(self) -> np.ndarray:
-        return np.concatenate(([0], np.cumsum(self.lens.astype(np.int64))))[:-1]
+    """Units by hash: where each one's pieces begin in ``flat`` and how many they are."""
+
+    def __init__(self, hashes: list[np.ndarray], lists: list[pa.Array]):
+        begin, lens, flat, at = [], [], [], 0
+        for x in lists:
+            size = np.asarray(x.value_lengths().to_numpy(zero_copy_only=False), np.int32)
+            begin.append((np.cumsum(size, dtype=np.int64) - size + at).astype(np.int32))
+            lens.append(size)
+            flat.append(x.flatten().to_numpy().astype(np.int32))
+            at += len(flat[-1])
+        none = [np.zeros(0, np.int32)]
+        keys = np.concatenate(hashes or [np.zeros(0, np.uint64)])
+        order = np.argsort(keys)
+        self.keys, self.begin, self.lens, self.flat = keys[order], np.concatenate(begin or none)[order], np.concatenate(lens or none)[order], np.concatenate(flat or none)
 
 
 def _loaded(words: DataFrame) -> Lexicon:
+    """On the driver, chunk by chunk of at most LEXICON_ROWS rows in all."""
     t = words.select("h", "ids").toArrow()
-    return Lexicon(t["h"].to_numpy().view(np.uint64), t["ids"])
+    return Lexicon([c.to_numpy().view(np.uint64) for c in t["h"].chunks], t["ids"].chunks)
 
 
 def lexicon(docs: DataFrame, path: str = vocabulary.DEFAULT) -> DataFrame:
@@ -197,7 +197,8 @@ def lexicon(docs: DataFrame, path: str = vocabulary.DEFAULT) -> DataFrame:
     return saved(lattice(distinct_units(docs), path))
 
 
-def _take(keys: np.ndarray, lens: np.ndarray, starts: np.ndarray, flat: np.ndarray, wanted: np.ndarray):
+def _take(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, is it there) of hashes in ascending ``keys``."""
     at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
     return at, (keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool))
 
@@ -228,11 +229,10 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = v
 
         def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             have = shared.value
-            starts = have.starts()
             for batch in batches:
                 for a, _, units in _pieces(column(batch, "text")):
                     h = units.hashes()
-                    _, hit = _take(have.keys, have.lens, starts, have.flat, h)
+                    _, hit = _take(have.keys, h)
                     pairs = np.unique(np.stack((units.doc[~hit].astype(np.uint64), h[~hit])), axis=1)
                     rows_ = pa.array(pairs[0].astype(np.int64) + a)
                     yield pa.RecordBatch.from_arrays([column(batch, "id").take(rows_), column(batch, "th").take(rows_), pa.array(pairs[1].view(np.int64))], ["id", "th", "h"])
@@ -244,22 +244,21 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = v
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = shared.value
-        starts = have.starts()
         spelling = spell.value
         for batch in batches:
             texts, rare = column(batch, "text"), column(batch, "rare")
             null = texts.is_null()
             for a, b, units in _pieces(texts):
                 h = units.hashes()
-                keys, lens, begins, flat = have.keys, have.lens, starts, have.flat
+                keys, lens, begins, flat = have.keys, have.lens, have.begin, have.flat
                 own = rare.slice(a, b - a).flatten()
                 if len(own):
-                    more = Lexicon(own.field("h").to_numpy().view(np.uint64), own.field("ids"))
-                    begins = np.concatenate((begins, more.starts() + len(flat)))
+                    more = Lexicon([own.field("h").to_numpy().view(np.uint64)], [own.field("ids")])
+                    begins = np.concatenate((begins, more.begin + len(flat)))
                     keys, lens, flat = np.concatenate((keys, more.keys)), np.concatenate((lens, more.lens)), np.concatenate((flat, more.flat))
                     order = np.argsort(keys, kind="stable")
                     keys, lens, begins = keys[order], lens[order], begins[order]
-                at, hit = _take(keys, lens, begins, flat, h)
+                at, hit = _take(keys, h)
                 if not hit.all():
                     raise ValueError("a unit is not in the lexicon")
                 size = lens[at].astype(np.int64)
