@@ -125,8 +125,9 @@ def sane_perception(amount: Column, total: Column, cuit: Column, references: lis
     """A perception amount if it is plausible, else 0: not the tax id, not above the total or every reference, below a million without references."""
     whole = F.floor(amount).cast("string")
     top = F.greatest(*[F.when(r > 0, r) for r in references]) if len(references) > 1 else F.when(references[0] > 0, references[0])
-    bad = (amount <= 0) | (whole == text.blank_to_null(ids.digits(cuit))) | ((total > 0) & (amount > total)) | F.coalesce(amount > top, amount >= 1_000_000)
-    return F.when(F.coalesce(bad, F.lit(True)), F.lit(0).cast(numbers.MONEY)).otherwise(amount)
+    is_id = F.coalesce(whole == text.blank_to_null(ids.digits(cuit)), F.lit(False))
+    bad = F.coalesce(amount <= 0, F.lit(True)) | is_id | F.coalesce((total > 0) & (amount > total), F.lit(False)) | F.coalesce(amount > top, amount >= 1_000_000)
+    return F.when(bad, F.lit(0).cast(numbers.MONEY)).otherwise(amount)
 
 
 def recommendation(duplicate: Column, review: Column, body: Column) -> Column:

@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from docfacts.plans import accounting, invoices, tables  # noqa: F401  they register their queries
+    from docfacts.plans import accounting, ingest, invoices, tables  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Query]:
