@@ -31,7 +31,7 @@ from docfacts.llm.wordhash import column, mix, pieces
 #: Words whose counts are broadcast (16 bytes each) and bound on bigrams scored from a broadcast.
 FREQUENT, HOT = 1 << 20, 1 << 16  # every word of a hot bigram is a frequent one, as FREQUENT is over twice HOT
 #: Tokens and documents of a batch; text of a bucket.
-BATCH_TOKENS, BATCH_DOCS, BUCKET_BYTES = 1_000_000, 60_000, 8 << 20
+BATCH_TOKENS, BATCH_DOCS, BUCKET_BYTES = 800_000, 60_000, 8 << 20
 #: Buckets of context frequency; steps of the grid that deleted counts are summed on, per power of two; rounds of the estimation.
 CONTEXTS, GRID, ROUNDS = 18, 8, 60
 BEGIN, END = np.uint64(1), np.uint64(2)

@@ -30,7 +30,7 @@ from pyspark.sql.functions import arrow_udf
 
 from docfacts.llm import vocabulary
 from docfacts.llm.common import saved
-from docfacts.llm.wordhash import PIECE_BYTES, Words, buffers, column
+from docfacts.llm.wordhash import PIECE_BYTES, Words, buffers, column, slices
 
 #: Units whose segmentation is broadcast at most (about 25 bytes each); bytes of a unit.
 LEXICON_ROWS, UNIT_BYTES = 6_000_000, 64
@@ -77,14 +77,9 @@ class Units(Words):
 
 
 def _pieces(texts: pa.Array) -> Iterator[tuple[int, int, Units]]:
-    if not len(texts):
-        return
-    data, offsets = buffers(pc.binary_join_element_wise("", pc.fill_null(texts, ""), " "), lower=False)
-    row = 0
-    while row < len(texts):
-        upto = max(row + 1, int(np.searchsorted(offsets, offsets[row] + PIECE_BYTES, "right")) - 1)
-        yield row, upto, Units(data[offsets[row] : offsets[upto]], offsets[row : upto + 1] - offsets[row])
-        row = upto
+    for row, upto in slices(texts, PIECE_BYTES):
+        part = pc.fill_null(texts.slice(row, upto - row), "")
+        yield row, upto, Units(*buffers(pc.binary_join_element_wise("", part, " "), lower=False))
 
 
 def distinct_units(docs: DataFrame) -> DataFrame:
@@ -106,7 +101,7 @@ def distinct_units(docs: DataFrame) -> DataFrame:
                 raw = units.data.tobytes()
                 found.append((keys, n, [raw[s:e] for s, e in zip(units.start[first].tolist(), units.end[first].tolist(), strict=True)]))
                 held += len(keys)
-                if held > 500_000:
+                if held > 250_000:
                     yield put(found)
                     found, held = [], 0
         if found:
@@ -141,16 +136,19 @@ def lattice(units: DataFrame, path: str = vocabulary.DEFAULT) -> DataFrame:
     edge = F.shiftleft(end, 40).bitwiseOR(F.shiftleft(start, 32)).bitwiseOR((F.coalesce("id", F.lit(-1)) + 1).cast("long"))
     grouped = edges.select("h", edge.alias("edge")).groupBy("h").agg(F.collect_list("edge").alias("edges")).join(dealt, "h")
 
-    def best(upto: Column, e: Column) -> Column:
-        """The best way to position e, from the best ways to the positions before it."""
-        def way(x):
-            s, i = F.shiftright(x, 32).bitwiseAND(F.lit(255)).cast("int"), x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
-            return F.struct((F.element_at(upto, s + 1)["score"] + F.element_at(score_of, i + 1)).alias("score"), (-s).alias("back"), (i - 1).alias("id"))
-
-        return F.concat(upto, F.array(F.array_max(F.transform(F.filter("edges", lambda x: F.shiftright(x, 40) == e), way))))
+    # Edges by end: ways to the end at hand compete for ``best``; when the end moves on, the best one joins the chart.
+    def step(state: Column, x: Column) -> Column:
+        e, s, i = F.shiftright(x, 40).cast("int"), F.shiftright(x, 32).bitwiseAND(F.lit(255)).cast("int"), x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+        more = e == state["end"]
+        before = F.when(more | (s < state["end"]), F.element_at(state["chart"], s + 1)["score"]).otherwise(state["best"]["score"])
+        way = F.struct((before + F.element_at(score_of, i + 1)).alias("score"), (-s).alias("back"), (i - 1).alias("id"))
+        return F.when(more, F.struct(e.alias("end"), state["chart"].alias("chart"), F.greatest(state["best"], way).alias("best"))).otherwise(
+            F.struct(e.alias("end"), F.concat(state["chart"], F.array(state["best"])).alias("chart"), way.alias("best"))
+        )
 
-    first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back"), F.lit(-1).alias("id")))
-    chart = F.aggregate(F.sequence(F.lit(1), F.length("unit")), first, best)
+    none = F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back"), F.lit(-1).alias("id"))
+    state = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<score:double,back:int,id:int>>").alias("chart"), none.alias("best"))
+    chart = F.aggregate(F.sort_array("edges"), state, step, lambda s: F.concat(s["chart"], F.array(s["best"])))
     folded = grouped.select("h", "unit", "n", chart.alias("chart"))
     octets = F.array(*map(F.lit, vocabulary.byte_ids(path)))
 
@@ -178,12 +176,15 @@ class Lexicon:
             size = np.asarray(x.value_lengths().to_numpy(zero_copy_only=False), np.int32)
             begin.append((np.cumsum(size, dtype=np.int64) - size + at).astype(np.int32))
             lens.append(size)
-            flat.append(x.flatten().to_numpy().astype(np.int32))
+            flat.append(x.flatten().to_numpy().astype(np.int32, copy=False))
             at += len(flat[-1])
         none = [np.zeros(0, np.int32)]
         keys = np.concatenate(hashes or [np.zeros(0, np.uint64)])
         order = np.argsort(keys)
-        self.keys, self.begin, self.lens, self.flat = keys[order], np.concatenate(begin or none)[order], np.concatenate(lens or none)[order], np.concatenate(flat or none)
+        pieces = np.concatenate(flat or none)
+        self.flat = pieces.astype(np.uint16) if pieces.max(initial=0) < 1 << 16 else pieces
+        # A unit of UNIT_BYTES bytes has no more pieces than bytes.
+        self.keys, self.begin, self.lens = keys[order], np.concatenate(begin or none)[order], np.concatenate(lens or none)[order].astype(np.uint8)
 
 
 def _loaded(words: DataFrame) -> Lexicon:
@@ -263,7 +264,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = v
                     raise ValueError("a unit is not in the lexicon")
                 size = lens[at].astype(np.int64)
                 ends = np.concatenate(([0], np.cumsum(size)))
-                ids = flat[np.repeat(begins[at] - ends[:-1], size) + np.arange(ends[-1])]
+                ids = flat[np.repeat(begins[at] - ends[:-1], size) + np.arange(ends[-1])].astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends[units.first].astype(np.int32)), pa.array(ids), mask=null.slice(a, b - a))
                 data, cuts = _decoded(spelling, ids, ends[units.first])
                 same = [bytes(data[x:y]) == bytes(units.data[o:p]) for x, y, o, p in zip(cuts[:-1], cuts[1:], units.offsets[:-1], units.offsets[1:], strict=True)]

@@ -107,17 +107,21 @@ def buffers(texts: pa.Array | pa.ChunkedArray, lower: bool) -> tuple[np.ndarray,
     return (_LOWER[raw] if lower else raw), offsets - offsets[0]
 
 
-def pieces(texts: pa.Array, lower: bool) -> Iterator[tuple[int, int, Words]]:
-    """(first row, row after the last, their words), a few MB of text at a time."""
-    if not len(texts):
-        return
-    data, offsets = buffers(texts, lower)
+def slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``most`` bytes of text each, and of one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     row = 0
     while row < len(texts):
-        upto = max(row + 1, int(np.searchsorted(offsets, offsets[row] + PIECE_BYTES, "right")) - 1)
-        yield row, upto, Words(data[offsets[row] : offsets[upto]], offsets[row : upto + 1] - offsets[row])
+        upto = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + most, "right")))
+        yield row, upto
         row = upto
 
 
+def pieces(texts: pa.Array, lower: bool) -> Iterator[tuple[int, int, Words]]:
+    """(first row, row after the last, their words), some text at a time; only that is copied."""
+    for row, upto in slices(texts, PIECE_BYTES):
+        yield row, upto, Words(*buffers(texts.slice(row, upto - row), lower))
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
