@@ -73,7 +73,7 @@ def tidy(c: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """Trimmed lines that are not blank."""
-    parts = F.transform(F.split(tidy(F.coalesce(c, F.lit(""))), r"\R"), F.trim)
+    parts = F.transform(F.split(tidy(F.coalesce(c, F.lit(""))), r"\R"), lambda x: F.trim(x))
     return F.filter(parts, lambda x: x != "")
 
 

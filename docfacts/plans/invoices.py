@@ -243,3 +243,28 @@ def q_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = profiles.filled(provenance.empty(), c, "total", ["Nada", "Importe Total:"])
     d = profiles.filled(provenance.empty(), c, "vencimiento_cae", ["Fecha Vto. CAE"])
     return render.documents(spark, sf_dir).select("id", f.alias("f"), d.alias("d")).select("id", "f.valor", "f.confianza", "f.fuente", F.col("d.valor").alias("due"))
+
+
+RECORD_SQL = _sql(
+    "id, replace(tax_id, '-', '') AS tax_id, lpad(point, 5, '0') || '-' || number AS number, strftime(CAST(issued AS DATE), '%d/%m/%Y') AS issued, 'FACTURA' AS kind, CASE WHEN vat > 100 THEN vat END AS vat, total AS total, net AS subtotal, CASE WHEN vat > 100 THEN 0.91::DOUBLE ELSE 0.83::DOUBLE END AS confidence"
+)
+
+
+@query("advanced_record", RECORD_SQL)
+def q_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second extractor's record of each document."""
+    from docfacts.functions import advanced
+
+    rows = render.documents(spark, sf_dir).select("id", advanced.record(F.col("body")).alias("r"))
+    return rows.select("id", "r.tax_id", "r.number", "r.issued", "r.kind", "r.vat", "r.total", "r.subtotal", "r.confidence")
+
+
+@query("jurisdiction_codes", "SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'Misiones' WHEN 1 THEN 'CABA' WHEN 2 THEN 'Entre Rios' ELSE '' END AS place, CASE o_orderkey % 4 WHEN 0 THEN '914' WHEN 1 THEN '901' WHEN 2 THEN '908' ELSE '' END AS code FROM orders")
+def q_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docfacts.functions import advanced
+    from docfacts.sources.tables import table
+
+    k = F.col("o_orderkey")
+    body = F.when(k % 4 == 0, "Perc. MNES 3%").when(k % 4 == 1, "Ciudad Autónoma de Buenos Aires").when(k % 4 == 2, "prov. de Entre Ríos").otherwise("otra parte")
+    rows = table(spark, sf_dir, "orders").select(k.alias("id"), advanced.jurisdiction(body).alias("place"))
+    return rows.select("id", "place", advanced.jurisdiction_code(F.col("place")).alias("code"))

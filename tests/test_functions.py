@@ -143,3 +143,17 @@ def test_classes(spark):
     assert (got["tipo_documento"], got["confianza"], got["requiere_revision"]) == ("REMITO", 80, True)
     assert one(spark, "", classify.by_words) == "ILEGIBLE" and one(spark, None, classify.by_words) == "ILEGIBLE" and one(spark, "hola", classify.by_words) == "OTRO_DOCUMENTO"
     assert one(spark, "x", lambda c: classify.classified(c, F.lit("3")))["tipo_documento"] == "NOTA_CREDITO" and one(spark, "x", lambda c: classify.classified(c, F.lit("")))["confianza"] == 90
+
+
+def test_second_extractor(spark):
+    from docfacts.functions import advanced
+
+    body = "Distribuidora Sur S.R.L.\nAv. Siempreviva 1\nCUIT: 30-50001091-2\nFactura A\nFecha de Emisión:\n\n05/06/2024\nCliente: Otro\nImporte Neto Gravado: 1.000,00\nIVA 21%\n210,00\nImporte Total: 1.210,00\nVto: 09/09/2024"
+    got = one(spark, body, advanced.record)
+    assert (got["provider_name"], got["tax_id"], got["issued"], got["kind"]) == ("Distribuidora Sur S.R.L.", "30500010912", "05/06/2024", "FACTURA")
+    assert (got["subtotal"], got["vat"], got["total"], got["number"]) == (D("1000.00"), D("210.00"), D("1210.00"), "") and got["confidence"] == 0.83
+    assert one(spark, body, advanced.provider_key) == "DISTRIBUIDORA_SUR_S_R_L_" and one(spark, "1 2", advanced.provider_key) == "UNKNOWN"
+    assert one(spark, body, lambda c: advanced.provider_name(c, ["sur"])) == "sur"
+    assert one(spark, "Comprobante: 3-45", advanced.number) == "00003-00000045" and one(spark, "NOTA DE CRÉDITO A", advanced.kind) == "NOTA_CREDITO"
+    assert one(spark, "IB. Mnes", advanced.jurisdiction) == "Misiones" and one(spark, None, lambda c: advanced.record(c)["total"]) is None
+    assert one(spark, " a1 \n\n b2", text.lines) == ["a1", "b2"]
