@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docfacts.llm.common import remainder, saved
-from docfacts.llm.wordhash import column, mix, pieces
+from docfacts.llm.wordhash import Places, column, mix, pieces
 
 #: Words whose counts are broadcast (16 bytes each) and bound on bigrams scored from a broadcast.
 FREQUENT, HOT = 1 << 20, 1 << 16  # every word of a hot bigram is a frequent one, as FREQUENT is over twice HOT
@@ -48,38 +48,6 @@ def _lookup(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return Places(keys)(wanted)
 
 
-class Places:
-    """Finds hashes in ascending ``keys``; an index over their first bits leads to about one key at a time."""
-
-    def __init__(self, keys: np.ndarray):
-        self.keys = keys
-        bits = max(4, len(keys).bit_length() + 1)
-        self.shift = np.uint64(64 - bits)
-        self.at = np.searchsorted(keys >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
-
-    def __call__(self, wanted: np.ndarray) -> np.ndarray:
-        out = np.full(len(wanted), -1, np.int64)
-        if not len(self.keys):
-            return out
-        first = (wanted >> self.shift).astype(np.int64)
-        at, end = self.at[first], self.at[first + 1]
-        left = None
-        while True:
-            near = np.minimum(at, len(self.keys) - 1)
-            hit = (self.keys[near] == (wanted if left is None else wanted[left])) & (at < end)
-            if left is None:
-                out[hit] = near[hit]
-                left = np.flatnonzero(~hit & (at + 1 < end))
-                at, end = at[left], end[left]
-            else:
-                out[left[hit]] = near[hit]
-                on = ~hit & (at + 1 < end)
-                left, at, end = left[on], at[on], end[on]
-            if not len(left):
-                return out
-            at = at + 1
-
-
 def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order that sorts, starts of equal keys in it)."""
     order = np.argsort(keys)

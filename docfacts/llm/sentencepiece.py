@@ -19,6 +19,7 @@ Decoding is exact: pieces give back their characters, byte pieces their bytes.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +27,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from docfacts.llm import vocabulary
 from docfacts.llm.common import saved
-from docfacts.llm.wordhash import PIECE_BYTES, Words, buffers, column, slices
+from docfacts.llm.wordhash import PIECE_BYTES, Places, Words, buffers, column, slices
 
 #: Units whose segmentation is broadcast at most (about 25 bytes each); bytes of a unit.
 LEXICON_ROWS, UNIT_BYTES = 6_000_000, 64
@@ -123,7 +125,7 @@ def lattice(units: DataFrame, path: str = vocabulary.DEFAULT) -> DataFrame:
     scores = [worst - UNKNOWN_COST] + [0.0] * (max(i for i, _, _ in pieces) + 1)  # by id + 1; 0 is a character that is no piece
     for i, _, s in pieces:
         scores[i + 1] = float(s)
-    score_of = F.lit(scores)
+    score_of = F.from_json(F.lit(json.dumps(scores)), "array<double>")  # folded into one constant
     table = spark.createDataFrame([(p.replace(vocabulary.SPACE, " "), i) for i, p, _ in pieces], "piece string, id int")
     dealt = units.repartition("h")
     spans = (
@@ -175,33 +177,27 @@ class Lexicon:
         for x in lists:
             size = np.asarray(x.value_lengths().to_numpy(zero_copy_only=False), np.int32)
             begin.append((np.cumsum(size, dtype=np.int64) - size + at).astype(np.int32))
-            lens.append(size)
-            flat.append(x.flatten().to_numpy().astype(np.int32, copy=False))
+            lens.append(size.astype(np.uint8))  # a unit of UNIT_BYTES bytes has no more pieces than bytes
+            flat.append(x.flatten().to_numpy())
             at += len(flat[-1])
-        none = [np.zeros(0, np.int32)]
+        none = [np.zeros(0, np.int16)]
         keys = np.concatenate(hashes or [np.zeros(0, np.uint64)])
         order = np.argsort(keys)
-        pieces = np.concatenate(flat or none)
-        self.flat = pieces.astype(np.uint16) if pieces.max(initial=0) < 1 << 16 else pieces
-        # A unit of UNIT_BYTES bytes has no more pieces than bytes.
-        self.keys, self.begin, self.lens = keys[order], np.concatenate(begin or none)[order], np.concatenate(lens or none)[order].astype(np.uint8)
+        self.flat = np.concatenate(flat or none)
+        self.keys, self.begin, self.lens = keys[order], np.concatenate(begin or none)[order], np.concatenate(lens or none)[order]
 
 
 def _loaded(words: DataFrame) -> Lexicon:
-    """On the driver, chunk by chunk of at most LEXICON_ROWS rows in all."""
+    """On the driver, at most LEXICON_ROWS rows."""
     t = words.select("h", "ids").toArrow()
     return Lexicon([c.to_numpy().view(np.uint64) for c in t["h"].chunks], t["ids"].chunks)
 
 
 def lexicon(docs: DataFrame, path: str = vocabulary.DEFAULT) -> DataFrame:
     """(h, unit, n, ids, score) of all units of a column ``text``, saved."""
-    return saved(lattice(distinct_units(docs), path))
-
-
-def _take(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place, is it there) of hashes in ascending ``keys``."""
-    at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
-    return at, (keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool))
+    words = lattice(distinct_units(docs), path)
+    small = max(i for i, _, _ in vocabulary.load(path)) < 1 << 15 and max(vocabulary.byte_ids(path)) < 1 << 15
+    return saved(words.withColumn("ids", F.col("ids").cast("array<smallint>")) if small else words)
 
 
 def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = vocabulary.DEFAULT, most: int = LEXICON_ROWS) -> DataFrame:
@@ -216,7 +212,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = v
     words = lexicon(docs, path)
     if words.count() <= most:
         shared = spark.sparkContext.broadcast(_loaded(words))
-        rows = docs.withColumn("rare", F.lit(None).cast("array<struct<h:long,ids:array<int>>>"))
+        rows = docs.withColumn("rare", F.lit(None).cast(T.ArrayType(T.StructType([words.schema["h"], words.schema["ids"]]))))
     else:
         # The commonest units that fit: all those used more often than some number of times.
         sizes = words.groupBy(F.log2("n").cast("int").alias("k")).agg(F.count("*").alias("m")).orderBy(F.desc("k")).collect()
@@ -230,10 +226,11 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = v
 
         def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             have = shared.value
+            places = Places(have.keys, 0)
             for batch in batches:
                 for a, _, units in _pieces(column(batch, "text")):
                     h = units.hashes()
-                    _, hit = _take(have.keys, h)
+                    hit = places(h) >= 0
                     pairs = np.unique(np.stack((units.doc[~hit].astype(np.uint64), h[~hit])), axis=1)
                     rows_ = pa.array(pairs[0].astype(np.int64) + a)
                     yield pa.RecordBatch.from_arrays([column(batch, "id").take(rows_), column(batch, "th").take(rows_), pa.array(pairs[1].view(np.int64))], ["id", "th", "h"])
@@ -245,22 +242,22 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = v
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = shared.value
-        spelling = spell.value
+        spelling, common = spell.value, Places(have.keys, 0)
         for batch in batches:
             texts, rare = column(batch, "text"), column(batch, "rare")
             null = texts.is_null()
             for a, b, units in _pieces(texts):
                 h = units.hashes()
-                keys, lens, begins, flat = have.keys, have.lens, have.begin, have.flat
+                places, lens, begins, flat = common, have.lens, have.begin, have.flat
                 own = rare.slice(a, b - a).flatten()
                 if len(own):
                     more = Lexicon([own.field("h").to_numpy().view(np.uint64)], [own.field("ids")])
                     begins = np.concatenate((begins, more.begin + len(flat)))
-                    keys, lens, flat = np.concatenate((keys, more.keys)), np.concatenate((lens, more.lens)), np.concatenate((flat, more.flat))
+                    keys, lens, flat = np.concatenate((have.keys, more.keys)), np.concatenate((lens, more.lens)), np.concatenate((flat, more.flat))
                     order = np.argsort(keys, kind="stable")
-                    keys, lens, begins = keys[order], lens[order], begins[order]
-                at, hit = _take(keys, h)
-                if not hit.all():
+                    places, lens, begins = Places(keys[order], 0), lens[order], begins[order]
+                at = places(h)
+                if (at < 0).any():
                     raise ValueError("a unit is not in the lexicon")
                 size = lens[at].astype(np.int64)
                 ends = np.concatenate(([0], np.cumsum(size)))

@@ -125,3 +125,35 @@ def pieces(texts: pa.Array, lower: bool) -> Iterator[tuple[int, int, Words]]:
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
+
+
+class Places:
+    """Finds hashes in ascending ``keys``; an index over their first bits leads to about one key at a time."""
+
+    def __init__(self, keys: np.ndarray, spare: int = 1):
+        self.keys = keys
+        bits = max(4, len(keys).bit_length() + spare)
+        self.shift = np.uint64(64 - bits)
+        self.at = np.searchsorted(keys >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def __call__(self, wanted: np.ndarray) -> np.ndarray:
+        out = np.full(len(wanted), -1, np.int64)
+        if not len(self.keys):
+            return out
+        first = (wanted >> self.shift).astype(np.int64)
+        at, end = self.at[first], self.at[first + 1]
+        left = None
+        while True:
+            near = np.minimum(at, len(self.keys) - 1)
+            hit = (self.keys[near] == (wanted if left is None else wanted[left])) & (at < end)
+            if left is None:
+                out[hit] = near[hit]
+                left = np.flatnonzero(~hit & (at + 1 < end))
+                at, end = at[left], end[left]
+            else:
+                out[left[hit]] = near[hit]
+                on = ~hit & (at + 1 < end)
+                left, at, end = left[on], at[on], end[on]
+            if not len(left):
+                return out
+            at = at + 1
