@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docfacts.functions import dates, extract, ids, numbers, payload
-from docfacts.operators import classify, profiles, provenance
+from docfacts.operators import classify, process, profiles, provenance
 from docfacts.plans import render
 from docfacts.plans.catalogue import query
 
@@ -136,29 +136,8 @@ def q_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a record for each field: from the payload (every third document has none), else from the text."""
-    c, q = F.col("body"), F.col("qr")
-    docs = render.documents(spark, sf_dir).withColumn("qr", F.when(F.col("id") % 3 != 0, payload.decode(F.col("url")))).withColumn("n", extract.number("body"))
-    # Values first, in a projection of their own: a record names its value several times.
-    texts = {
-        "proveedor_nombre": extract.business_name(c), "proveedor_cuit": extract.issuer_tax_id(c), "tipo_comprobante": extract.letter_kind(c), "punto_venta": F.col("n.point"),
-        "numero_comprobante": F.col("n.number"), "fecha_emision": extract.issue_date(c), "moneda": extract.currency(c), "neto_gravado": extract.net_text(c), "iva_21": extract.vat_text(c, "21"),
-        "iva_105": extract.vat_text(c, "10.5"), "iva_27": extract.vat_text(c, "27"), "percepciones_iva": F.nullif(extract.vat_perception(c), F.lit("0.00")),
-        "otros_tributos": F.nullif(extract.other_taxes(c), F.lit("0.00")), "total": extract.total(c).cast("string"), "cae": extract.authorisation(c), "vencimiento_cae": extract.expiry_date(c),
-    }
-    coded = {
-        "proveedor_cuit": (F.when(ids.valid_tax_id(q["cuit"]), ids.format_tax_id(q["cuit"])), "qr_cuit"), "tipo_comprobante": (F.concat(F.lit("FACTURA_"), ids.letter_of_code(q["tipoCmp"])), "qr_tipo_cmp"),
-        "punto_venta": (ids.code_text(q["ptoVta"], 4), "qr_pto_vta"), "numero_comprobante": (ids.code_text(q["nroCmp"], 8), "qr_nro_cmp"), "fecha_emision": (dates.iso_date(q["fecha"]), "qr_fecha"),
-        "moneda": (ids.currency(q["moneda"]), "qr_moneda"), "total": (numbers.money_text(q["importe"]), "qr_importe"), "cae": (q["codAut"], "qr_cod_aut"),
-    }
-    values = docs.select("id", "body", "qr", F.to_json("qr").alias("qr_json"), *[v.alias(f"t_{n}") for n, v in texts.items()], *[v.alias(f"q_{n}") for n, (v, _) in coded.items()])
-    fields = {"percepciones_iibb": provenance.empty(), "codjur": provenance.empty()}
-    for n in texts:
-        own = provenance.field(F.col(f"t_{n}"), provenance.OCR, "ocr", f"regex_{n}", F.col(f"t_{n}"))
-        fields[n] = provenance.first_of(provenance.field(F.col(f"q_{n}"), provenance.QR, "qr", coded[n][1], F.col("qr_json")), own) if n in coded else own
-    docs = values
-    rows = docs.select("id", "body", "qr", *[f.alias(n) for n, f in fields.items()])
-    rows = provenance.with_amounts(rows).withColumns(provenance.resolve_double_tax())
-    return provenance.with_amounts(rows).withColumn("iva_total", provenance.vat_total())
+    docs = render.documents(spark, sf_dir).select("id", F.lit("").alias("pdf_text"), F.col("body").alias("ocr_text"), F.when(F.col("id") % 3 != 0, payload.decode(F.col("url"))).alias("qr"))
+    return process.with_fields(docs).withColumnRenamed("ocr_text", "body")
 
 
 MERGE_SQL = _sql(
@@ -268,3 +247,22 @@ def q_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.when(k % 4 == 0, "Perc. MNES 3%").when(k % 4 == 1, "Ciudad Autónoma de Buenos Aires").when(k % 4 == 2, "prov. de Entre Ríos").otherwise("otra parte")
     rows = table(spark, sf_dir, "orders").select(k.alias("id"), advanced.jurisdiction(body).alias("place"))
     return rows.select("id", "place", advanced.jurisdiction_code(F.col("place")).alias("code"))
+
+
+PROCESS_SQL = _sql(
+    "id, CASE WHEN id % 5 = 0 THEN 'REVIEW_REQUIRED' ELSE 'OK' END AS estado, 'FACTURA' AS tipo, CASE WHEN id % 2 = 0 THEN 'pdf_text' ELSE 'ocr' END AS total_source, "
+    "CASE WHEN id % 2 = 0 THEN 85 ELSE 70 END AS sure, CASE WHEN id % 5 = 0 THEN 'revisar_manualmente' ELSE 'aceptar' END AS advice"
+) + " WHERE id % 10 <> 3"
+
+
+@query("process_documents", PROCESS_SQL)
+def q_process(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New documents from both kinds of text to their diagnosis; every tenth is known already, every fifth has a wrong tax."""
+    body = F.when(F.col("id") % 5 == 0, F.regexp_replace("body", "IVA 21%: .*", "IVA 21%: 1,00")).otherwise(F.col("body"))
+    docs = render.documents(spark, sf_dir).select(
+        "id", F.sha2(F.col("id").cast("string"), 256).alias("sha256"), F.when(F.col("id") % 2 == 0, body).otherwise("").alias("pdf_text"), F.when(F.col("id") % 2 == 1, body).otherwise("").alias("ocr_text"),
+        payload.decode(F.lit("")).alias("qr"),
+    )
+    known = render.facts(spark, sf_dir).filter("id % 10 = 3").select(F.sha2(F.col("id").cast("string"), 256).alias("sha256"))
+    rows = process.process(docs, known)
+    return rows.select("id", "estado", F.col("clase.tipo_documento").alias("tipo"), F.col("total.fuente").alias("total_source"), F.col("total.confianza").alias("sure"), F.col("diagnostico.recomendacion").alias("advice"))
