@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docfacts.functions import ids, numbers, payload
-from docfacts.sources.tables import table
+from docfacts.sources.tables import spread, table
 
 #: The columns that texts are made of, for DuckDB.
 FACTS_SQL = """
@@ -24,7 +24,7 @@ facts AS (SELECT *, CAST(units AS DECIMAL(18,2)) AS net, CAST(total - units AS D
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per order: what its document says."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderstatus"))
     total = F.col("o_totalprice").cast("decimal(18,2)")
     ten = F.concat(F.lit("30"), F.lpad(F.col("o_custkey").cast("string"), 8, "0"))
     rows = o.select(
