@@ -26,6 +26,17 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Rows of a batch that goes to Python, unless the session says otherwise: long texts make large batches.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker and its Arrow buffers hold; a session with a setting of its own keeps it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, None) in (None, "10000"):
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 _made: list[tuple[SparkSession, str]] = []
 
 

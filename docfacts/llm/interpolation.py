@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docfacts.llm.common import remainder, saved
+from docfacts.llm.common import remainder, saved, small_batches
 from docfacts.llm.wordhash import Places, column, mix, pieces
 
 #: Words whose counts are broadcast (16 bytes each) and bound on bigrams scored from a broadcast.
@@ -386,6 +386,7 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", is_train=None)
     ignored, whatever their names.
     """
     spark = df.sparkSession
+    small_batches(spark)
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.coalesce(is_train, F.lit(False)).alias("train"))
     size, lessons = docs.agg(F.sum(F.octet_length("text")), F.count_if("train")).first()
     buckets = max(24, (size or 0) // BUCKET_BYTES)

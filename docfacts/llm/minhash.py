@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docfacts.llm.common import saved
+from docfacts.llm.common import saved, small_batches
 from docfacts.llm.components import components
 from docfacts.llm.wordhash import column, mix, pieces
 
@@ -286,6 +286,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     null; rows that repeat an id are rows of their own, alike in id; an empty
     table gives no rows; other columns are ignored, whatever their names.
     """
+    small_batches(df.sparkSession)
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     signed = saved(signatures(docs, shingle))
     named = signed.filter("id is not null and n > 0")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from docfacts.llm.common import remainder
+from docfacts.llm.common import remainder, small_batches
 from docfacts.llm.wordhash import pieces
 
 #: Labelled rows that the rules are fitted on, at most.
@@ -215,6 +215,7 @@ def fit_rules(x: np.ndarray, y: np.ndarray) -> Ensemble:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Ensemble:
     """``docs`` (id, text) and ``labels`` (id, label 0 or 1; other labels teach nothing; the smallest of a repeated id counts)."""
+    small_batches(docs.sparkSession)
     able = labels.filter("id is not null and label in (0, 1)").groupBy("id").agg(F.min("label").alias("label"))
     n = able.count()
     span = 1 << 30

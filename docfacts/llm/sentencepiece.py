@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from docfacts.llm import vocabulary
-from docfacts.llm.common import saved
+from docfacts.llm.common import saved, small_batches
 from docfacts.llm.wordhash import PIECE_BYTES, Places, Words, buffers, column, slices
 
 #: Units whose segmentation is broadcast at most (about 25 bytes each); bytes of a unit.
@@ -208,6 +208,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = v
     gives no rows; other columns are ignored, whatever their names.
     """
     spark = df.sparkSession
+    small_batches(spark)
     docs = df.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
     words = lexicon(docs, path)
     if words.count() <= most:

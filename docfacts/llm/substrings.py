@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docfacts.llm.common import small_batches
 from docfacts.llm.wordhash import buffers, column, mix, pieces
 
 #: Rows of the sketch; counters in a row at least and at most (2 bits of 2^28 counters are 64 MB for both rows).
@@ -150,6 +151,7 @@ def _ranges(ids, th, start) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 def repeats(docs: DataFrame, window: int) -> DataFrame:
     """``docs`` (id, th, text; ``th`` tells texts of one id apart) to (id, th, start, n): runs of n repeated windows from word ``start`` on."""
     spark = docs.sparkSession
+    small_batches(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = int(np.clip(size // 16, LEAST_CELLS, MOST_CELLS)).bit_length()
     bits = min(bits, MOST_CELLS.bit_length() - 1)
