@@ -2,14 +2,19 @@
 
 A text, with a space before it, falls into units: a run of letters, digits and
 characters beyond ASCII, or a run of other marks, each with the one space before
-it; any other white space is a unit by itself; units of over 64 bytes are cut.
-Pieces never cross units, so the best segmentation of a text is that of its units.
+it; any other white space is a unit by itself. Two neighbours that stand side by
+side in some piece are never parted (runs of spaces, a mark and the carriage return
+after it, some marks beside curly quotes), and a unit of over 64 bytes is cut
+wherever its neighbours are in no piece. So no piece crosses units, and the best
+segmentation of a text is that of its units.
 
 1. The distinct units of all texts are counted.
 2. Their substrings of bounded length are exploded and joined to the piece table;
    a character that is no piece gets an edge of its own. Edges are grouped by unit
    and a higher-order ``aggregate`` folds them into the best path (Viterbi: the
    largest sum of piece scores; on a tie the longest last piece).
+   Units that are still over 64 bytes are left to step 3, which finds the best path
+   of each in place, over its full length.
 3. The lexicon of units is applied to the texts. It is broadcast while it has at
    most ``LEXICON_ROWS`` rows; beyond that its commonest units are, and the other
    units of each document are looked up by a join.
@@ -34,7 +39,7 @@ from docfacts.llm import vocabulary
 from docfacts.llm.common import saved, small_batches
 from docfacts.llm.wordhash import PIECE_BYTES, Places, Words, buffers, column, slices
 
-#: Units whose segmentation is broadcast at most (about 25 bytes each); bytes of a unit.
+#: Units whose segmentation is broadcast at most (about 25 bytes each); bytes of a unit in the lexicon.
 LEXICON_ROWS, UNIT_BYTES = 6_000_000, 64
 #: What a character that is no piece costs below the worst piece.
 UNKNOWN_COST = 10.0
@@ -42,12 +47,48 @@ UNKNOWN_COST = 10.0
 _CLASS = np.full(256, 2, np.uint8)  # 0 white space, 1 letters, digits and beyond ASCII, 2 other marks
 _CLASS[[0x20, *range(0x09, 0x0E)]] = 0
 _CLASS[0x80:] = _CLASS[0x30:0x3A] = _CLASS[0x41:0x5B] = _CLASS[0x61:0x7B] = 1
+_SIZE = np.ones(256, np.int64)  # bytes of the character that begins with a byte
+_SIZE[0xC0:0xE0], _SIZE[0xE0:0xF0], _SIZE[0xF0:] = 2, 3, 4
+
+
+def _characters(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The bytes of the character that begins at each place, as one number."""
+    size, out = _SIZE[data[at]], data[at].astype(np.uint64)
+    for j in range(1, 4):
+        more = np.flatnonzero(size > j)
+        out[more] = out[more] << np.uint64(8) | data[at[more] + j]
+    return out
+
+
+class Neighbours:
+    """Characters that stand side by side in some piece: a cut between two others parts no piece."""
+
+    def __init__(self, pieces: list[str]):
+        pairs = {p[j : j + 2] for p in pieces for j in range(len(p) - 1)}
+        number = [[int.from_bytes(c.encode(), "big") for c in pair] for pair in sorted(pairs)]
+        self.pairs = np.sort(np.array([a << 32 | b for a, b in number], np.uint64))
+        self.bytes = np.zeros((256, 256), bool)  # last byte of the one, first byte of the other
+        for a, b in pairs:
+            self.bytes[a.encode()[-1], b.encode()[0]] = True
+
+    def __call__(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether the characters before and after each place (the beginning of a character, not of ``data``) are such."""
+        out = self.bytes[data[at - 1], data[at]]
+        maybe = np.flatnonzero(out)
+        after = at[maybe]
+        before = after - 1
+        for _ in range(3):
+            before = before - (data[before] & 0xC0 == 0x80)
+        key = _characters(data, before) << np.uint64(32) | _characters(data, after)
+        found = np.searchsorted(self.pairs, key)
+        out[maybe] = self.pairs[np.minimum(found, len(self.pairs) - 1)] == key if len(self.pairs) else False
+        return out
 
 
 class Units(Words):
-    """Units of some texts, each of which begins with a space."""
+    """Units of some texts, each of which begins with a space; ``long`` are those of over UNIT_BYTES bytes."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, beside: Neighbours):
         self.data, self.offsets, self.rows = data, offsets, len(offsets) - 1
         kind = _CLASS[data]
         start = np.ones(len(data), bool)
@@ -59,33 +100,67 @@ class Units(Words):
         joined = np.zeros(len(data), bool)
         joined[1:] = start[1:] & (kind[1:] != 0) & (data[:-1] == 0x20) & ~begin[1:-1]
         start &= ~joined
+        inner = np.flatnonzero(start & ~begin[:-1])
+        start[inner[beside(data, inner)]] = False
         at = np.flatnonzero(start)
         end = np.append(at[1:], len(data)) if len(at) else at
         long = np.flatnonzero(end - at > UNIT_BYTES)
         if len(long):
-            cuts = []
-            for s, e in zip(at[long].tolist(), end[long].tolist(), strict=True):
-                while e - s > UNIT_BYTES:
-                    s += UNIT_BYTES
-                    while data[s] & 0xC0 == 0x80:
-                        s -= 1
-                    cuts.append(s)
-            at = np.sort(np.concatenate((at, cuts)))
+            inner = np.concatenate([np.arange(s + 1, e) for s, e in zip(at[long].tolist(), end[long].tolist(), strict=True)])
+            inner = inner[data[inner] & 0xC0 != 0x80]
+            at = np.sort(np.concatenate((at, inner[~beside(data, inner)])))
             end = np.append(at[1:], len(data))
-        self.start, self.end = at, end
+        self.start, self.end, self.long = at, end, end - at > UNIT_BYTES
         self.first = np.searchsorted(at, offsets)
         self.counts = np.diff(self.first)
         self.doc = np.repeat(np.arange(self.rows), self.counts)
 
 
-def _pieces(texts: pa.Array) -> Iterator[tuple[int, int, Units]]:
+class Walk:
+    """Best paths of single units, one character after the other: those of ``lattice``, in time and memory that grow with the length."""
+
+    def __init__(self, path: str):
+        pieces = vocabulary.load(path)
+        self.pieces = {p.replace(vocabulary.SPACE, " "): (float(s), i) for i, p, s in pieces}
+        self.longest = max(map(len, self.pieces))
+        self.unknown = min(s for _, _, s in pieces if s > -1e8) - UNKNOWN_COST
+        self.octets = vocabulary.byte_ids(path)
+
+    def __call__(self, unit: str) -> list[int]:
+        pieces, best, back = self.pieces, [0.0], [(0, -1)]
+        for e in range(1, len(unit) + 1):
+            top, way = -np.inf, None
+            for s in range(max(0, e - self.longest), e):  # the longest last piece first: it stays on a tie
+                score, i = pieces.get(unit[s:e], (None, -1))
+                if score is None:
+                    if s < e - 1:
+                        continue
+                    score = self.unknown
+                if best[s] + score > top:
+                    top, way = best[s] + score, (s, i)
+            best.append(top)
+            back.append(way)
+        ids, e = [], len(unit)
+        while e:
+            s, i = back[e]
+            ids += [i] if i >= 0 else [self.octets[b] for b in reversed(unit[s:e].encode())]
+            e = s
+        return ids[::-1]
+
+
+def _pieces(texts: pa.Array, beside: Neighbours) -> Iterator[tuple[int, int, Units]]:
     for row, upto in slices(texts, PIECE_BYTES):
         part = pc.fill_null(texts.slice(row, upto - row), "")
-        yield row, upto, Units(*buffers(pc.binary_join_element_wise("", part, " "), lower=False))
+        yield row, upto, Units(*buffers(pc.binary_join_element_wise("", part, " "), lower=False), beside)
 
 
-def distinct_units(docs: DataFrame) -> DataFrame:
-    """(h, unit, n) of a column ``text``: each unit's hash, text and number of uses, saved."""
+def _neighbours(path: str) -> Neighbours:
+    return Neighbours([p.replace(vocabulary.SPACE, " ") for _, p, _ in vocabulary.load(path)])
+
+
+def distinct_units(docs: DataFrame, path: str = vocabulary.DEFAULT) -> DataFrame:
+    """(h, unit, n) of a column ``text``: the hash, text and number of uses of each unit that is not long, saved."""
+    beside = _neighbours(path)
 
     def put(found: list[tuple]) -> pa.RecordBatch:
         keys, n = (np.concatenate([f[i] for f in found]) for i in (0, 1))
@@ -98,8 +173,10 @@ def distinct_units(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, held = [], 0
         for batch in batches:
-            for _, _, units in _pieces(column(batch, "text")):
-                keys, first, n = np.unique(units.hashes(), return_index=True, return_counts=True)
+            for _, _, units in _pieces(column(batch, "text"), beside):
+                short = np.flatnonzero(~units.long)
+                keys, first, n = np.unique(units.hashes()[short], return_index=True, return_counts=True)
+                first = short[first]
                 raw = units.data.tobytes()
                 found.append((keys, n, [raw[s:e] for s, e in zip(units.start[first].tolist(), units.end[first].tolist(), strict=True)]))
                 held += len(keys)
@@ -113,7 +190,7 @@ def distinct_units(docs: DataFrame) -> DataFrame:
 
 
 def lattice(units: DataFrame, path: str = vocabulary.DEFAULT) -> DataFrame:
-    """``units`` (h, unit, n) to (h, unit, n, ids, score): the best path of each unit through its lattice.
+    """``units`` (h, unit, n) to (h, unit, n, ids, score): the best path of each unit, of at most UNIT_BYTES bytes, through its lattice.
 
     Units are dealt by ``h`` once; the exploded substrings stay where they are, and an
     edge is one long (end, start, piece), so grouping them moves and sorts little.
@@ -194,8 +271,8 @@ def _loaded(words: DataFrame) -> Lexicon:
 
 
 def lexicon(docs: DataFrame, path: str = vocabulary.DEFAULT) -> DataFrame:
-    """(h, unit, n, ids, score) of all units of a column ``text``, saved."""
-    words = lattice(distinct_units(docs), path)
+    """(h, unit, n, ids, score) of all units of a column ``text`` that are not long, saved."""
+    words = lattice(distinct_units(docs, path), path)
     small = max(i for i, _, _ in vocabulary.load(path)) < 1 << 15 and max(vocabulary.byte_ids(path)) < 1 << 15
     return saved(words.withColumn("ids", F.col("ids").cast("array<smallint>")) if small else words)
 
@@ -211,6 +288,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = v
     small_batches(spark)
     docs = df.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
     words = lexicon(docs, path)
+    beside = _neighbours(path)
     if words.count() <= most:
         shared = spark.sparkContext.broadcast(_loaded(words))
         rows = docs.withColumn("rare", F.lit(None).cast(T.ArrayType(T.StructType([words.schema["h"], words.schema["ids"]]))))
@@ -229,9 +307,9 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = v
             have = shared.value
             places = Places(have.keys, 0)
             for batch in batches:
-                for a, _, units in _pieces(column(batch, "text")):
+                for a, _, units in _pieces(column(batch, "text"), beside):
                     h = units.hashes()
-                    hit = places(h) >= 0
+                    hit = (places(h) >= 0) | units.long
                     pairs = np.unique(np.stack((units.doc[~hit].astype(np.uint64), h[~hit])), axis=1)
                     rows_ = pa.array(pairs[0].astype(np.int64) + a)
                     yield pa.RecordBatch.from_arrays([column(batch, "id").take(rows_), column(batch, "th").take(rows_), pa.array(pairs[1].view(np.int64))], ["id", "th", "h"])
@@ -243,11 +321,11 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = v
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = shared.value
-        spelling, common = spell.value, Places(have.keys, 0)
+        spelling, common, walk = spell.value, Places(have.keys, 0), None
         for batch in batches:
             texts, rare = column(batch, "text"), column(batch, "rare")
             null = texts.is_null()
-            for a, b, units in _pieces(texts):
+            for a, b, units in _pieces(texts, beside):
                 h = units.hashes()
                 places, lens, begins, flat = common, have.lens, have.begin, have.flat
                 own = rare.slice(a, b - a).flatten()
@@ -257,12 +335,26 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = v
                     keys, lens, flat = np.concatenate((have.keys, more.keys)), np.concatenate((lens, more.lens)), np.concatenate((flat, more.flat))
                     order = np.argsort(keys, kind="stable")
                     places, lens, begins = Places(keys[order], 0), lens[order], begins[order]
-                at = places(h)
+                short = ~units.long
+                at = places(h[short])
                 if (at < 0).any():
                     raise ValueError("a unit is not in the lexicon")
-                size = lens[at].astype(np.int64)
+                size, begin = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+                size[short], begin[short] = lens[at], begins[at]
+                walked = {}
+                if units.long.any():
+                    walk = walk or Walk(path)
+                    for j in np.flatnonzero(units.long).tolist():
+                        key = bytes(units.data[units.start[j] : units.end[j]])
+                        if key not in walked:
+                            walked[key] = np.array(walk(key.decode()), np.int32)
+                        size[j] = len(walked[key])
                 ends = np.concatenate(([0], np.cumsum(size)))
-                ids = flat[np.repeat(begins[at] - ends[:-1], size) + np.arange(ends[-1])].astype(np.int32)
+                ids = np.empty(ends[-1], np.int32)
+                known, index = np.repeat(short, size), np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])
+                ids[known] = flat[index[known]]
+                for j in np.flatnonzero(units.long).tolist() if walked else []:
+                    ids[ends[j] : ends[j + 1]] = walked[bytes(units.data[units.start[j] : units.end[j]])]
                 lists = pa.ListArray.from_arrays(pa.array(ends[units.first].astype(np.int32)), pa.array(ids), mask=null.slice(a, b - a))
                 data, cuts = _decoded(spelling, ids, ends[units.first])
                 same = [bytes(data[x:y]) == bytes(units.data[o:p]) for x, y, o, p in zip(cuts[:-1], cuts[1:], units.offsets[:-1], units.offsets[1:], strict=True)]
