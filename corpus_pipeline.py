@@ -27,19 +27,28 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates, the one with the smallest id, and of equal rows one."""
-    found = saved(minhash.near_duplicates(docs, shingle=5, percent=80).filter("doc_id is not null"))
-
-    def without(rows: DataFrame, ids: DataFrame) -> DataFrame:
-        ids = saved(ids)
-        return rows.join(F.broadcast(ids) if ids.count() <= minhash.BROADCAST_ROWS else ids, "doc_id", "left_anti").select(*docs.columns)
-
-    kept = without(docs, found.filter("doc_id <> component_id").select("doc_id").distinct())
-    twice = saved(found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    """Keep one document of each group of near duplicates, the one with the smallest id (a null id last), and of equal rows one.
+
+    Rows are told apart by a key made of id and text, so that of rows that repeat an id, or have none, each is decided for itself.
+    """
+    row = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"), 1)
+    keyed = docs.withColumn("_row", row)
+    found = saved(minhash.near_duplicates(keyed.select("_row", "text"), key="_row", shingle=5, percent=80))
+
+    def without(rows: DataFrame, keys: DataFrame) -> DataFrame:
+        keys = saved(keys)
+        return rows.join(F.broadcast(keys) if keys.count() <= minhash.BROADCAST_ROWS else keys, "_row", "left_anti")
+
+    linked = found.filter("_row <> component_id")
+    members = linked.select("_row", "component_id").union(linked.select(F.col("component_id").alias("_row"), "component_id")).distinct()
+    ranked = members.join(keyed.select("_row", "doc_id"), "_row").select("component_id", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row").alias("rank"))
+    first = ranked.groupBy("component_id").agg(F.min("rank")["_row"].alias("_first"))
+    kept = without(keyed, members.join(first, "component_id").filter("_row <> _first").select("_row"))
+    twice = saved(found.groupBy("_row").agg(F.count("*").alias("n")).filter("n > 1").select("_row"))
     if twice.isEmpty():
-        return kept
-    again = kept.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return without(kept, twice).unionByName(again)
+        return kept.select(*docs.columns)
+    again = kept.join(twice, "_row", "left_semi").dropDuplicates(["doc_id", "text"])
+    return without(kept, twice).unionByName(again).select(*docs.columns)
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
