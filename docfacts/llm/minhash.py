@@ -8,11 +8,12 @@
    corrected estimate drops pairs far below the threshold (5 standard errors).
 3. What is left is confirmed on whole shingle sets, and components are formed.
 4. A bucket that still spans several components is looked at again: each member
-   outside its largest component lists the members of other components that its
-   signature allows. What the lists connect is brought together, whole sets
-   included, in tiles of bounded size; a tile confirms listed pairs, the likeliest
-   first, and skips those that links found before already connect. Nothing is left
-   out, and what is handed on is linear in the members, never all pairs.
+   outside its largest component meets the members of other components that its
+   signature allows, and a forest of these meetings says who must be brought
+   together, whole sets included, in tiles of bounded size. A tile confirms pairs of
+   different components that signatures allow, the likeliest first, and skips those
+   that links found before already connect. Nothing is left out, no list of partners
+   is kept, and what a tile returns is linear in its members, never all pairs.
 """
 
 from __future__ import annotations
@@ -31,8 +32,10 @@ from docfacts.llm.wordhash import column, mix, pieces
 HASHES, BANDS, BITS = 128, 32, 4
 ROWS = HASHES // BANDS
 LONGS = HASHES * BITS // 64
-#: Members of a bucket that a task holds at a time, on either side of a comparison.
-TILE = 2048
+#: Members of a bucket that a task holds at a time, on either side of a comparison; the least of a part that is cut for parallel work.
+TILE, PART = 2048, 64
+#: Tiles that a task of the shuffle gets at least where there are groups to cut.
+TILES_A_TASK = 6
 #: Shingles of a tile's sets, on either side.
 TILE_SHINGLES = 4_000_000
 #: Rows of an id table that may be broadcast (16 bytes each); a larger one is shuffled.
@@ -175,98 +178,113 @@ def _find(parent: dict, x):
     return x
 
 
-def _lists(members: DataFrame, percent: int) -> DataFrame:
-    """Candidates between components that meet in a bucket.
+def _parts(groups: DataFrame, sides: list[str]) -> dict[str, Column]:
+    """Into how many parts each of ``sides`` (numbers of members) of a group is dealt, by its name and "_parts".
 
-    ``members`` (key, band, rep, n, sig, bands, comp) are those of buckets with
-    several components. Returns (q, partners, joins): for a member outside its
-    bucket's largest component, the members of other components whose sizes and
-    signatures allow the threshold, likeliest first, each pair in the first band
-    that it shares; ``joins`` are those of them that a tile's earlier lists don't
-    connect with q yet.
+    A tile is a part of one side against a part of the other. A part has at most TILE
+    members, and no tile is more than a small share of all groups' comparisons, however
+    few and large the groups are; parts of under PART members aren't made for that.
+    """
+    work = groups.agg(F.sum(F.col(sides[0]).cast("double") * F.col(sides[-1]))).first()[0] or 1.0
+    share = min((TILES_A_TASK * int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")) / work) ** 0.5, 1 / PART)
+    return {f"{x}_parts": F.ceil(F.greatest(F.col(x) / TILE, F.col(x) * share)).cast("int") for x in sides}
+
+
+def _similarity(sig: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """``estimate`` of packed signatures against one of them."""
+    d = sig ^ one
+    d |= d >> np.uint64(1)
+    d |= d >> np.uint64(2)
+    d &= np.uint64(0x1111111111111111)
+    return (1 - np.bitwise_count(d).sum(axis=1) / HASHES - 2.0**-BITS) / (1 - 2.0**-BITS)
+
+
+def _sigs(t: pa.Table) -> np.ndarray:
+    return t["sig"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, LONGS)
+
+
+def _meetings(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a forest of the members that may be linked across components.
+
+    ``members`` (key, rep, n, sig, comp) are those of buckets with several
+    components. Each member outside its bucket's largest component meets the
+    members of other components whose sizes and signatures allow the threshold;
+    a tile returns only pairs that connect what it has not connected yet, so at
+    most as many as it has members, and every member that may be linked is in one.
     """
     sizes = members.groupBy("key", "comp").agg(F.count("*").alias("m"))
-    buckets = sizes.groupBy("key").agg(F.sum("m").alias("g"), F.max_by("comp", F.struct("m", "comp")).alias("top"), (F.sum("m") - F.max("m")).alias("s"))
-    tiles = members.join(buckets, "key").withColumns({"gt": F.ceil(F.col("g") / TILE).cast("int"), "st": F.ceil(F.col("s") / TILE).cast("int")})
+    buckets = saved(sizes.groupBy("key").agg(F.sum("m").alias("g"), F.max_by("comp", F.struct("m", "comp")).alias("top"), (F.sum("m") - F.max("m")).alias("s")))
+    tiles = members.join(buckets.withColumns(_parts(buckets, ["g", "s"])), "key")
     deal = F.xxhash64("rep")
-    targets = tiles.withColumns({"i": F.pmod(deal, F.col("gt")).cast("int"), "j": F.explode(F.sequence(F.lit(0), F.col("st") - 1)), "asks": F.lit(False)})
-    queries = tiles.filter("comp <> top").withColumns({"j": F.pmod(deal, F.col("st")).cast("int"), "i": F.explode(F.sequence(F.lit(0), F.col("gt") - 1)), "asks": F.lit(True)})
-    cols = ["key", "i", "j", "asks", "band", "top", "rep", "n", "sig", "bands", "comp"]
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    targets = tiles.withColumns({"i": F.pmod(deal, F.col("g_parts")).cast("int"), "j": every("s_parts"), "asks": F.lit(False)})
+    queries = tiles.filter("comp <> top").withColumns({"j": F.pmod(deal, F.col("s_parts")).cast("int"), "i": every("g_parts"), "asks": F.lit(True)})
+    cols = ["key", "i", "j", "asks", "top", "rep", "n", "sig", "comp"]
     least = _least_estimate(percent)
 
     def run(t: pa.Table) -> pa.Table:
         asks = t["asks"].to_numpy()
         rep, n, comp = (t[c].to_numpy() for c in ("rep", "n", "comp"))
-        sig, bands = (t[c].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, w) for c, w in (("sig", LONGS), ("bands", BANDS)))
-        band, top = t["band"][0].as_py(), t["top"][0].as_py()
-        q, x = np.flatnonzero(asks), np.flatnonzero(~asks)
-        out: tuple[list, list, list] = ([], [], [])
-        parent: dict = {}
-        for i in q:
-            # A pair of two askers is listed by the one with the smaller id.
-            ok = x[(comp[x] != comp[i]) & ((comp[x] == top) | (rep[x] > rep[i])) & (100 * np.minimum(n[x], n[i]) >= percent * np.maximum(n[x], n[i]))]
-            if band and len(ok):
-                ok = ok[~(bands[ok, :band] == bands[i, :band]).any(axis=1)]
-            if not len(ok):
-                continue
-            d = sig[ok] ^ sig[i]
-            d |= d >> np.uint64(1)
-            d |= d >> np.uint64(2)
-            d &= np.uint64(0x1111111111111111)
-            like = (1 - np.bitwise_count(d).sum(axis=1) / HASHES - 2.0**-BITS) / (1 - 2.0**-BITS)
-            ok, like = ok[like >= least], like[like >= least]
+        sig, top = _sigs(t), t["top"][0].as_py()
+        met = np.unique(rep, return_inverse=True)[1]  # one number for all that this tile has connected
+        a, b = [], []
+        x = np.flatnonzero(~asks)
+        for i in np.flatnonzero(asks).tolist():
+            # A pair of two askers is looked at by the one with the smaller id.
+            ok = x[(comp[x] != comp[i]) & (met[x] != met[i]) & ((comp[x] == top) | (rep[x] > rep[i])) & (100 * np.minimum(n[x], n[i]) >= percent * np.maximum(n[x], n[i]))]
+            if len(ok):
+                ok = ok[_similarity(sig[ok], sig[i]) >= least]
+            if len(ok):
+                groups, first = np.unique(met[ok], return_index=True)
+                a += [int(rep[i])] * len(groups)
+                b += rep[ok[first]].tolist()
+                met[np.isin(met, groups)] = met[i]
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return targets.select(cols).unionByName(queries.select(cols)).groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def _met_links(meetings: DataFrame, comps: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between components ``comps`` (rep, comp), enough to connect all that whole sets connect among what ``meetings`` bring together."""
+    homes = components(meetings).select(F.col("id").alias("rep"), F.col("component").alias("home"))
+    people = saved(homes.join(sets.select("rep", "n", "h1", "sig"), "rep").join(comps, "rep"))
+    tiles = saved(people.groupBy("home").agg(F.count("*").alias("m"), F.sum("n").alias("shingles")))
+    parts = F.greatest(_parts(tiles, ["m"])["m_parts"], F.ceil(F.col("shingles") / TILE_SHINGLES).cast("int"))
+    people = people.join(tiles.select("home", parts.alias("t")), "home")
+    few = F.broadcast(people) if tiles.agg(F.sum("m")).first()[0] <= BROADCAST_ROWS // 8 else people
+    held = docs.join(few, docs["id"] == few["rep"]).withColumns({"part": F.pmod(F.xxhash64("rep"), F.col("t")).cast("int"), "other": F.explode(F.sequence(F.lit(0), F.col("t") - 1))})
+    held = held.select("home", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") <= F.col("other")).alias("left"), "comp", "n", "h1", "sig", "text")
+    least = _least_estimate(percent)
+
+    def run(t: pa.Table) -> pa.Table:
+        own: list[np.ndarray] = []
+        sums = []
+        for _, _, words in pieces(t["text"].combine_chunks(), lower=True):
+            grams, edges = shingle_sets(words, k)
+            for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                own.append(grams[x:y])
+                sums.append(np.add.reduce(mix(grams[x:y].copy())).view(np.int64))
+        n, comp, left, sig = t["n"].to_numpy(), t["comp"].to_numpy(), t["left"].to_numpy(), _sigs(t)
+        # Of rows that share an id, the one whose set it is.
+        mine = (np.array([len(x) for x in own]) == n) & (np.array(sums, np.int64) == t["h1"].to_numpy())
+        same = t["i"][0].as_py() == t["j"][0].as_py()
+        across = np.flatnonzero(mine if same else mine & ~left)
+        root, a, b = comp.copy(), [], []
+        for q in np.flatnonzero(mine & left).tolist():
+            ok = across[(root[across] != root[q]) & (100 * np.minimum(n[across], n[q]) >= percent * np.maximum(n[across], n[q]))]
+            if same:
+                ok = ok[ok > q]
             if not len(ok):
                 continue
-            partners = rep[ok[np.argsort(-like, kind="stable")]].tolist()
-            joins = []
-            for p in partners:
-                a, b = _find(parent, int(rep[i])), _find(parent, p)
-                if a != b:
-                    parent[a] = b
-                    joins.append(p)
-            out[0].append(int(rep[i])), out[1].append(partners), out[2].append(joins)
-        return pa.table([pa.array(out[0], pa.int64()), *(pa.array(o, pa.list_(pa.int64())) for o in out[1:])], ["q", "partners", "joins"])
-
-    dealt = targets.select(cols).unionByName(queries.select(cols))
-    return dealt.groupBy("key", "i", "j").applyInArrow(run, "q long, partners array<long>, joins array<long>")
-
-
-def _linked_lists(lists: DataFrame, comps: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) among listed pairs, enough to connect all that whole sets connect; ``comps`` (rep, comp) says what is connected already."""
-    homes = components(lists.select(F.col("q").alias("a"), F.explode("joins").alias("b")))
-    people = homes.select(F.col("id").alias("rep"), F.col("component").alias("home")).join(sets.select("rep", "n"), "rep").join(comps, "rep")
-    tiles = people.groupBy("home").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_SHINGLES)).cast("int").alias("t"))
-    people = saved(people.join(tiles, "home"))
-    few = F.broadcast(people) if people.count() <= BROADCAST_ROWS else people
-    held = docs.join(few, docs["id"] == few["rep"]).select("home", "t", "rep", "comp", "text")
-    mine = F.pmod(F.xxhash64("rep"), F.col("t")).cast("int")
-    every = F.sequence(F.lit(0), F.col("t") - 1)
-    cols = ["home", "i", "j", "rep", "comp", "text"]
-    left = held.withColumns({"i": mine, "j": F.explode(every)}).select(cols)
-    right = held.withColumns({"j": mine, "i": F.explode(F.filter(every, lambda i: i != mine))}).select(cols)  # on the diagonal it is there already
-    asked = lists.join(people.select(F.col("rep").alias("q"), "home", "t"), "q").withColumns({"i": F.pmod(F.xxhash64("q"), F.col("t")).cast("int"), "j": F.explode(every)})
-    asked = asked.select(F.col("home").alias("at"), "i", "j", "q", F.filter("partners", lambda p: F.pmod(F.xxhash64(p), F.col("t")) == F.col("j")).alias("partners")).filter(F.size("partners") > 0)
-
-    def run(people_: pa.Table, asked_: pa.Table) -> pa.Table:
-        a, b = [], []
-        if len(people_) and len(asked_):
-            rep, comp = people_["rep"].to_pylist(), people_["comp"].to_pylist()
-            own: dict[int, list[np.ndarray]] = {}
-            for lo, hi, words in pieces(people_["text"].combine_chunks(), lower=True):
-                grams, edges = shingle_sets(words, k)
-                for r in range(hi - lo):
-                    own.setdefault(rep[lo + r], []).append(grams[edges[r] : edges[r + 1]])
-            of = dict(zip(rep, comp, strict=True))
-            parent: dict = {}
-            for q, partners in sorted(zip(asked_["q"].to_pylist(), asked_["partners"].to_pylist(), strict=True)):
-                for p in partners:
-                    cq, cp = _find(parent, of[q]), _find(parent, of[p])
-                    if cq != cp and any(_alike(x, y, percent) for x in own[q] for y in own[p]):
-                        parent[cq] = cp
-                        a.append(min(p, q)), b.append(max(p, q))
+            like = _similarity(sig[ok], sig[q])
+            order = np.argsort(-like, kind="stable")
+            for p in ok[order[like[order] >= least]].tolist():
+                if root[p] != root[q] and _alike(own[q], own[p], percent):
+                    a.append(int(root[q])), b.append(int(root[p]))
+                    root[root == root[p]] = root[q]
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return left.unionByName(right).groupBy("home", "i", "j").cogroup(asked.groupBy("at", "i", "j")).applyInArrow(run, "a long, b long")
+    return held.groupBy("home", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -305,15 +323,17 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     links = saved(tried.filter("same").select("a", "b").distinct())
     linked = components(links)
     comps = saved(members.select("rep").distinct().join(linked, F.col("rep") == F.col("id"), "left").select("rep", F.coalesce("component", "rep").alias("comp")))
-    spread = members.select("key", "band", "rep").join(comps, "rep")
+    spread = members.select("key", "rep").join(comps, "rep")
     mixed = spread.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a <> _b").select("key")
-    lists = saved(_lists(spread.join(mixed, "key").join(sets.select("rep", "n", "sig", "bands"), "rep"), percent))
-    if not lists.isEmpty():
-        linked = components(links.unionByName(_linked_lists(lists, comps, sets, docs, shingle, percent)))
-    classes = sets.join(linked, sets["rep"] == linked["id"], "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("_c"))
-    return signed.select("id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"], "left").select(
-        F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("_c", "id")).alias("component_id")
-    )
+    meetings = saved(_meetings(spread.join(mixed, "key").join(sets.select("rep", "n", "sig"), "rep"), percent))
+    if not meetings.isEmpty():
+        more = components(_met_links(meetings, comps, sets, docs, shingle, percent)).select(F.col("id").alias("comp"), "component")
+        comps = comps.join(more, "comp", "left").select("rep", F.coalesce("component", "comp").alias("comp"))
+    classes = sets.select("rep", "n", "h1", "h2").join(comps, "rep", "left").select("n", "h1", "h2", F.coalesce("comp", "rep").alias("_c"))
+    # Empty sets are no class: they would all meet in one key.
+    empty = signed.filter("n = 0").select("id", "n", F.col("id").alias("_c"))
+    found = signed.filter("n > 0").select("id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"], "left").select("id", "n", "_c").unionByName(empty)
+    return found.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("_c", "id")).alias("component_id"))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

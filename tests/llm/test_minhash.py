@@ -79,3 +79,40 @@ def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     got = dict(tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert all(got[i] == 0 for i in range(61)) and all(got[i] == 100 for i in range(100, 140))
+
+
+def test_template_pages_below_the_threshold(spark, monkeypatch):
+    """Pages of one template, 0.7 alike, meet in buckets without links; what the meetings hand on stays linear."""
+    rng = random.Random(11)
+    template = [f"t{i}" for i in range(140)]
+    rows = [(i, " ".join(template + [f"p{i}x{j}" for j in range(26 + rng.randrange(3))]), "en", "s", 0) for i in range(1000)]
+    rows += [(1000 + i, f"{rows[7 * i][1]} more", "en", "s", 0) for i in range(20)]
+    seen = []
+    made = minhash._meetings
+    monkeypatch.setattr(minhash, "_meetings", lambda *a: seen.append(made(*a)) or seen[-1])
+    found = dict((i, c) for i, _, c in run(frame(spark, rows), 4))
+    assert found == {i: i if i < 1000 else 7 * (i - 1000) for i in range(1020)}
+    assert seen[0].count() < 32 * 1020 * 4  # some pair for each member, bucket and tile at most; all pairs would be half a million a bucket
+
+
+def test_components(spark, monkeypatch):
+    from docfacts.llm import components as module
+
+    rng = random.Random(5)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(None, 3), (5, None), (900, 900)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    df = spark.createDataFrame(edges, "a long, b long")
+    for few in (1 << 14, 40, 0):  # in one task, after some rounds, by rounds alone
+        monkeypatch.setattr(module, "FEW_EDGES", few)
+        assert {r["id"]: r["component"] for r in components(df).collect()} == {x: find(x) for x in root}
+    assert components(df.limit(0)).count() == 0
