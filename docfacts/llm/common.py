@@ -19,10 +19,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share, from spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder that all machines share, from spark.checkpoint.dir; a temporary one only where that is unset in local mode, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docfacts-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="docfacts-"))
     return sc.getCheckpointDir()
 
 
@@ -31,37 +34,54 @@ BATCH_ROWS = 1000
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what a Python worker and its Arrow buffers hold; a session with a setting of its own keeps it."""
+    """Bound what a Python worker and its Arrow buffers hold. The setting stays with the session; one of the session's own is kept."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name, None) in (None, "10000"):
+    if spark.conf.get(name, None) is None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
 _made: list[tuple[SparkSession, str]] = []
 
 
-def saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame, narrow: bool = False) -> DataFrame:
     """The same rows from a Parquet table in the shared folder: computed once, lineage cut, safe against lost executors.
 
     A table, not checkpoint(), so that the plan read back is a plain scan: loops
     then plan each round afresh, with nothing carried along from the rounds before.
-    The tables go when the driver's Python ends.
+    A ``narrow`` table, of a few numbers a row behind a shuffle, is written by an
+    eighth of the shuffle's partitions. The tables go with ``discard``, or when the
+    driver's Python ends.
     """
     spark = df.sparkSession
     if not _made:
         atexit.register(_clear)
     path = f"{shared_dir(spark)}/saved-{uuid.uuid4().hex}"
     _made.append((spark, path))
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if narrow:
+        df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``saved`` made and that nothing reads any more."""
+    for table in tables:
+        _delete(table.sparkSession, table._saved_at)
+        _made.remove((table.sparkSession, table._saved_at))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    if sc._jsc is not None:
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def _clear() -> None:
     for spark, path in _made:
-        sc = spark.sparkContext
-        if sc._jsc is not None:
-            at = sc._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(spark, path)
     _made.clear()
 
 

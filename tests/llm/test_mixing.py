@@ -16,9 +16,23 @@ def test_targets_and_takings(spark, sf):
 
 def test_positions_are_sorted_and_match_copies(spark, sf, documents):
     planned = mixing.schedule(documents)
-    times = [r["time"] for r in mixing.positions(planned).collect()]
-    assert times == sorted(times) and all(0 <= t <= 1 for t in times)
-    assert len(times) == planned.agg({"copies": "sum"}).first()[0]
+    found = mixing.positions(planned).orderBy("position").collect()
+    assert [r["position"] for r in found] == list(range(len(found)))
+    order = [(r["time"], r["doc_id"], r["copy"]) for r in found]
+    assert order == sorted(order) and all(0 <= t <= 1 for t, _, _ in order)
+    assert len(found) == planned.agg({"copies": "sum"}).first()[0]
+    again = mixing.positions(mixing.schedule(documents.repartition(5))).orderBy("position").collect()
+    assert [(r["time"], r["doc_id"], r["copy"]) for r in again] == order  # reruns agree
+
+
+def test_every_lap_is_read(spark, documents):
+    planned = mixing.schedule(documents, share=2.6, limit=3.0)
+    rows = planned.collect()
+    assert max(r["copies"] for r in rows) == 3 and all(r["copies"] == len(r["times"]) and r["taken"] == r["copies"] * r["size"] for r in rows)
+    copies = sum(r["copies"] for r in rows)
+    assert mixing.positions(planned).count() == copies
+    mixed = [r["doc_id"] for r in mixing.mixed(documents, share=2.6, limit=3.0).collect()]
+    assert mixed == [r["doc_id"] for r in mixing.positions(planned).orderBy("position").collect()]
 
 
 def test_edges(edge, nothing):
@@ -31,4 +45,4 @@ def test_edges(edge, nothing):
     assert mixing.schedule(nothing).count() == 0
     mixed = mixing.mixed(edge)
     assert mixed.columns == edge.columns and mixed.filter("text is null").count() == 0
-    assert mixing.mixed(nothing).count() == 0
+    assert mixing.mixed(nothing).count() == 0 and mixing.positions(mixing.schedule(nothing)).count() == 0
