@@ -49,7 +49,7 @@ def components(edges: DataFrame) -> DataFrame:
     def between(a, b):
         return F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")
 
-    left = saved(edges.filter("a is not null and b is not null").select(*between(F.col("a"), F.col("b"))).filter("hi <> lo").distinct())
+    left = saved(edges.filter("a is not null and b is not null").select(*between(F.col("a"), F.col("b"))).filter("hi <> lo").distinct(), narrow=True)
     labels = None
 
     def passed(hooks: DataFrame) -> DataFrame:
@@ -59,19 +59,19 @@ def components(edges: DataFrame) -> DataFrame:
 
     every = left.select(F.explode(F.array("hi", "lo")).alias("id")).distinct()
     while (size := left.count()) > FEW_EDGES:
-        hooks = saved(left.groupBy("hi").agg(F.min("lo").alias("to")))
+        hooks = saved(left.groupBy("hi").agg(F.min("lo").alias("to")), narrow=True)
         while True:
             on = hooks.select(F.col("hi").alias("_at"), F.col("to").alias("_on"))
-            jumped = saved(hooks.join(on, hooks["to"] == on["_at"], "left").select("hi", F.coalesce("_on", "to").alias("to"), F.col("_on").isNotNull().alias("moved")))
+            jumped = saved(hooks.join(on, hooks["to"] == on["_at"], "left").select("hi", F.coalesce("_on", "to").alias("to"), F.col("_on").isNotNull().alias("moved")), narrow=True)
             hooks = jumped.select("hi", "to")
             if jumped.filter("moved").isEmpty():
                 break
-        labels = saved(passed(hooks))
+        labels = saved(passed(hooks), narrow=True)
         low = hooks.select(F.col("hi").alias("_l"), F.col("to").alias("_lt"))
         high = hooks.select(F.col("hi").alias("_h"), F.col("to").alias("_ht"))
         moved = left.join(high, left["hi"] == high["_h"], "left").join(low, left["lo"] == low["_l"], "left")
-        left = saved(moved.select(*between(F.coalesce("_ht", "hi"), F.coalesce("_lt", "lo"))).filter("hi <> lo").distinct())
+        left = saved(moved.select(*between(F.coalesce("_ht", "hi"), F.coalesce("_lt", "lo"))).filter("hi <> lo").distinct(), narrow=True)
     if not size and labels is not None:
         return labels
     last = left.coalesce(1).mapInArrow(_finish, "hi long, to long")
-    return saved(last.select(F.col("hi").alias("id"), F.col("to").alias("component")) if labels is None else passed(last))
+    return saved(last.select(F.col("hi").alias("id"), F.col("to").alias("component")) if labels is None else passed(last), narrow=True)

@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from docfacts.llm import vocabulary
-from docfacts.llm.common import saved, small_batches
+from docfacts.llm.common import discard, saved, small_batches
 from docfacts.llm.wordhash import PIECE_BYTES, Places, Words, buffers, column, slices
 
 #: Units whose segmentation is broadcast at most (about 25 bytes each); bytes of a unit in the lexicon.
@@ -186,7 +186,16 @@ def distinct_units(docs: DataFrame, path: str = vocabulary.DEFAULT) -> DataFrame
         if found:
             yield put(found)
 
-    return saved(docs.select("text").mapInArrow(run, "h long, unit string, n long").groupBy("h", "unit").agg(F.sum("n").alias("n")))
+    return saved(docs.select("text").mapInArrow(run, "h long, unit string, n long").groupBy("h", "unit").agg(F.sum("n").alias("n")), narrow=True)
+
+
+def shared_hashes(units: DataFrame) -> np.ndarray:
+    """Hashes that several units share, ascending: their units are walked in place. About n^2 / 2^65 of n units have one, so they are few at any size.
+
+    Two that meet in one batch of ``distinct_units`` first go unseen: a chance of 2e-9 a batch.
+    """
+    found = units.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h").collect()
+    return np.sort(np.array([r["h"] for r in found], np.int64).view(np.uint64))
 
 
 def lattice(units: DataFrame, path: str = vocabulary.DEFAULT) -> DataFrame:
@@ -270,15 +279,15 @@ def _loaded(words: DataFrame) -> Lexicon:
     return Lexicon([c.to_numpy().view(np.uint64) for c in t["h"].chunks], t["ids"].chunks)
 
 
-def lexicon(docs: DataFrame, path: str = vocabulary.DEFAULT) -> DataFrame:
-    """(h, unit, n, ids, score) of all units of a column ``text`` that are not long, saved."""
-    words = lattice(distinct_units(docs, path), path)
+def lexicon(units: DataFrame, path: str = vocabulary.DEFAULT) -> DataFrame:
+    """``units`` (h, unit, n) with ``ids`` and ``score``; ids in 16 bits if they fit."""
+    words = lattice(units, path)
     small = max(i for i, _, _ in vocabulary.load(path)) < 1 << 15 and max(vocabulary.byte_ids(path)) < 1 << 15
-    return saved(words.withColumn("ids", F.col("ids").cast("array<smallint>")) if small else words)
+    return words.withColumn("ids", F.col("ids").cast("array<smallint>")) if small else words
 
 
-def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = vocabulary.DEFAULT, most: int = LEXICON_ROWS) -> DataFrame:
-    """(id, ids, exact): the piece ids of each text, and whether decoding them gives the text back.
+def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = vocabulary.DEFAULT, most: int = LEXICON_ROWS, carry: dict[str, Column] | None = None) -> DataFrame:
+    """(id, ids, exact): the piece ids of each text, and whether decoding them gives the text back; then ``carry``, columns by name, as they are.
 
     Defined cases: a null text has null ids; an empty text is one space mark; a
     null id is an id; rows that repeat an id are rows of their own; an empty table
@@ -286,13 +295,17 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = v
     """
     spark = df.sparkSession
     small_batches(spark)
-    docs = df.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
-    words = lexicon(docs, path)
+    docs = df.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"), F.struct(F.lit(0).alias("_"), *[c.alias(name) for name, c in (carry or {}).items()]).alias("carry"))
+    units = distinct_units(docs, path)
+    twice = shared_hashes(units)
+    words = lexicon(units.filter(~F.col("h").isin(twice.view(np.int64).tolist())) if len(twice) else units, path)
     beside = _neighbours(path)
-    if words.count() <= most:
+    if units.count() <= most:
         shared = spark.sparkContext.broadcast(_loaded(words))
+        discard(units)
         rows = docs.withColumn("rare", F.lit(None).cast(T.ArrayType(T.StructType([words.schema["h"], words.schema["ids"]]))))
     else:
+        words = saved(words)
         # The commonest units that fit: all those used more often than some number of times.
         sizes = words.groupBy(F.log2("n").cast("int").alias("k")).agg(F.count("*").alias("m")).orderBy(F.desc("k")).collect()
         least, held = 63, 0
@@ -309,7 +322,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = v
             for batch in batches:
                 for a, _, units in _pieces(column(batch, "text"), beside):
                     h = units.hashes()
-                    hit = (places(h) >= 0) | units.long
+                    hit = (places(h) >= 0) | units.long | np.isin(h, twice)
                     pairs = np.unique(np.stack((units.doc[~hit].astype(np.uint64), h[~hit])), axis=1)
                     rows_ = pa.array(pairs[0].astype(np.int64) + a)
                     yield pa.RecordBatch.from_arrays([column(batch, "id").take(rows_), column(batch, "th").take(rows_), pa.array(pairs[1].view(np.int64))], ["id", "th", "h"])
@@ -317,7 +330,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = v
         asked = docs.mapInArrow(missing, "id long, th long, h long").distinct()
         told = asked.join(known, "h").groupBy("id", "th").agg(F.collect_list(F.struct("h", "ids")).alias("rare"))
         same = (F.col("d.id").eqNullSafe(F.col("t.id"))) & (F.col("d.th") == F.col("t.th"))
-        rows = docs.alias("d").join(told.alias("t"), same, "left").select("d.id", "d.text", "t.rare")
+        rows = docs.alias("d").join(told.alias("t"), same, "left").select("d.id", "d.text", "d.carry", "t.rare")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = shared.value
@@ -327,6 +340,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = v
             null = texts.is_null()
             for a, b, units in _pieces(texts, beside):
                 h = units.hashes()
+                walked_ = units.long | np.isin(h, twice) if len(twice) else units.long
                 places, lens, begins, flat = common, have.lens, have.begin, have.flat
                 own = rare.slice(a, b - a).flatten()
                 if len(own):
@@ -335,16 +349,16 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = v
                     keys, lens, flat = np.concatenate((have.keys, more.keys)), np.concatenate((lens, more.lens)), np.concatenate((flat, more.flat))
                     order = np.argsort(keys, kind="stable")
                     places, lens, begins = Places(keys[order], 0), lens[order], begins[order]
-                short = ~units.long
+                short = ~walked_
                 at = places(h[short])
                 if (at < 0).any():
                     raise ValueError("a unit is not in the lexicon")
                 size, begin = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
                 size[short], begin[short] = lens[at], begins[at]
                 walked = {}
-                if units.long.any():
+                if walked_.any():
                     walk = walk or Walk(path)
-                    for j in np.flatnonzero(units.long).tolist():
+                    for j in np.flatnonzero(walked_).tolist():
                         key = bytes(units.data[units.start[j] : units.end[j]])
                         if key not in walked:
                             walked[key] = np.array(walk(key.decode()), np.int32)
@@ -353,16 +367,17 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = v
                 ids = np.empty(ends[-1], np.int32)
                 known, index = np.repeat(short, size), np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])
                 ids[known] = flat[index[known]]
-                for j in np.flatnonzero(units.long).tolist() if walked else []:
+                for j in np.flatnonzero(walked_).tolist() if walked else []:
                     ids[ends[j] : ends[j + 1]] = walked[bytes(units.data[units.start[j] : units.end[j]])]
                 lists = pa.ListArray.from_arrays(pa.array(ends[units.first].astype(np.int32)), pa.array(ids), mask=null.slice(a, b - a))
                 data, cuts = _decoded(spelling, ids, ends[units.first])
                 same = [bytes(data[x:y]) == bytes(units.data[o:p]) for x, y, o, p in zip(cuts[:-1], cuts[1:], units.offsets[:-1], units.offsets[1:], strict=True)]
                 exact = pa.array(same, pa.bool_(), mask=null.slice(a, b - a).to_numpy(zero_copy_only=False))
-                yield pa.RecordBatch.from_arrays([column(batch, "id").slice(a, b - a), lists, exact], ["id", "ids", "exact"])
+                yield pa.RecordBatch.from_arrays([column(batch, "id").slice(a, b - a), lists, exact, column(batch, "carry").slice(a, b - a)], ["id", "ids", "exact", "carry"])
 
     spell = spark.sparkContext.broadcast(_spelling(path))
-    return rows.select("id", "text", "rare").mapInArrow(run, "id long, ids array<int>, exact boolean").select(F.col("id").alias(key), "ids", "exact")
+    done = rows.select("id", "text", "rare", "carry").mapInArrow(run, f"id long, ids array<int>, exact boolean, carry {rows.schema['carry'].dataType.simpleString()}")
+    return done.select(F.col("id").alias(key), "ids", "exact", *[F.col("carry")[name].alias(name) for name in carry or {}])
 
 
 def _spelling(path: str) -> tuple[np.ndarray, np.ndarray]:

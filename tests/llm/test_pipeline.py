@@ -34,13 +34,14 @@ def test_stages_against_brute_force(spark, sf, documents, tmp_path):
         elif name == "mixing":
             plan = {r["doc_id"]: r["copies"] for r in mixing.schedule(before).collect()}
             assert Counter(r["doc_id"] for r in docs.collect()) == Counter({i: n for i, n in plan.items() if n})
+            order = [r["doc_id"] for r in mixing.positions(mixing.schedule(before)).orderBy("position").collect()]
         else:
-            assert Counter(r["doc_id"] for r in docs.collect()) == Counter(r["doc_id"] for r in rows)
+            assert [r["doc_id"] for r in docs.orderBy("place").collect()] == order  # the training order is in the result
 
 
 def test_run_is_the_stages(spark, sf):
     assert corpus_pipeline.ORACLE_SQL is None and 4 <= len(corpus_pipeline.STAGES) <= 5
-    assert corpus_pipeline.run(spark, sf).filter("n_pieces > 0").count() > 0
+    assert corpus_pipeline.run(spark, sf).filter("n_pieces > 0 and place is not null").count() > 0
 
 
 def test_edges(spark, edge, nothing):

@@ -1,24 +1,9 @@
-import re
-
+import numpy as np
 import pytest
 from frames import edge_rows
 
 from docfacts.llm import sentencepiece, vocabulary
 
-UNIT = re.compile(rb" ?[0-9A-Za-z\x80-\xff]+| ?[^0-9A-Za-z\x80-\xff \t-\r]+|[ \t-\r]")
-
-
-def cut(unit):
-    raw = unit
-    while len(raw) > 64:
-        at = 64
-        while raw[at] & 0xC0 == 0x80:
-            at -= 1
-        yield raw[:at].decode()
-        raw = raw[at:]
-    yield raw.decode()
-
-
 class Slow:
     def __init__(self):
         pieces = vocabulary.load()
@@ -43,7 +28,8 @@ class Slow:
         return ids
 
     def encode(self, text):
-        return [i for m in UNIT.finditer(b" " + text.encode()) for u in cut(m.group()) for i in self.path(u)]
+        """The best path of the whole text, without any cut."""
+        return self.path(" " + text)
 
 
 @pytest.fixture(scope="module")
@@ -54,10 +40,22 @@ def slow():
 @pytest.mark.parametrize("most", [6_000_000, 300])
 def test_query_against_a_plain_search(spark, documents, slow, most):
     rows = {r["doc_id"]: r for r in sentencepiece.encode(documents, most=most).collect()}
-    for r in documents.limit(60).collect():
+    for r in documents.collect():
         assert rows[r["doc_id"]]["ids"] == slow.encode(r["text"]) and rows[r["doc_id"]]["exact"]
 
 
+def test_units_that_share_a_hash_are_walked(spark, documents, monkeypatch):
+    want = {r["doc_id"]: r["ids"] for r in sentencepiece.encode(documents).collect()}
+
+    def some(units):
+        return np.sort(np.array([r["h"] for r in units.orderBy("h").limit(200).collect()], np.int64).view(np.uint64))
+
+    monkeypatch.setattr(sentencepiece, "shared_hashes", some)
+    for most in (6_000_000, 300):
+        got = sentencepiece.encode(documents, most=most).collect()
+        assert {r["doc_id"]: r["ids"] for r in got} == want and all(r["exact"] for r in got)
+
+
 def test_edges_and_round_trip(spark, edge, nothing, slow):
     coded = sentencepiece.encode(edge)
     decode = sentencepiece.decoder(spark)
