@@ -7,7 +7,8 @@ language or source is a value like any other; an empty table stays empty.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docfacts.llm import language, minhash, mixing, sentencepiece, substrings
@@ -36,7 +37,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = saved(minhash.near_duplicates(keyed.select("_row", "text"), key="_row", shingle=5, percent=80))
 
     def without(rows: DataFrame, keys: DataFrame) -> DataFrame:
-        keys = saved(keys)
+        keys = saved(keys, narrow=True)
         return rows.join(F.broadcast(keys) if keys.count() <= minhash.BROADCAST_ROWS else keys, "_row", "left_anti")
 
     linked = found.filter("_row <> component_id")
@@ -44,7 +45,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ranked = members.join(keyed.select("_row", "doc_id"), "_row").select("component_id", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row").alias("rank"))
     first = ranked.groupBy("component_id").agg(F.min("rank")["_row"].alias("_first"))
     kept = without(keyed, members.join(first, "component_id").filter("_row <> _first").select("_row"))
-    twice = saved(found.groupBy("_row").agg(F.count("*").alias("n")).filter("n > 1").select("_row"))
+    twice = saved(found.groupBy("_row").agg(F.count("*").alias("n")).filter("n > 1").select("_row"), narrow=True)
     if twice.isEmpty():
         return kept.select(*docs.columns)
     again = kept.join(twice, "_row", "left_semi").dropDuplicates(["doc_id", "text"])
@@ -61,9 +62,23 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs)
 
 
+def place(docs: DataFrame) -> Column:
+    """A number that ascends in the order in which rows were written, for documents read from Parquet files of one table; null for others.
+
+    It is made of the file's number, the number of a part of it, and the row's number therein.
+    """
+    try:
+        docs.select("_metadata.file_name", "_metadata.row_index")
+    except AnalysisException:  # not read from such files
+        return F.lit(None).cast("long")
+    name = F.col("_metadata.file_name")
+    part, piece = (F.coalesce(F.regexp_extract(name, pattern, 1).try_cast("long"), F.lit(0)) for pattern in (r"^part-(\d+)", r"-c(\d+)[^-]*$"))
+    return F.shiftleft(part, 43) + F.shiftleft(piece, 32) + F.col("_metadata.row_index")
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_pieces, ids) of each document."""
-    return sentencepiece.encode(docs).select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids")
+    """(doc_id, place, n_pieces, ids) of each document; sorted by place, they are in training order."""
+    return sentencepiece.encode(docs, carry={"place": place(docs)}).select("doc_id", "place", F.size("ids").cast("long").alias("n_pieces"), "ids")
 
 
 STAGES = [
