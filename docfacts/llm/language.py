@@ -29,8 +29,10 @@ from docfacts.llm.wordhash import pieces
 
 #: Training documents of a language that the probabilities are fitted on, at most; rounds of fitting.
 FIT_DOCS, ROUNDS = 600, 3
-#: Code points of a word (with its leading mark) that are segmented together; a longer word is cut.
+#: Code points of a word (with its leading mark) up to which words of one length are done together; a longer word is walked from end to end.
 WORD_CHARS = 24
+#: Code points of long words that are looked up together.
+BLOCK_CHARS = 1 << 15
 #: Pseudo-count of each piece; share of a character that is no piece among all unknown characters.
 PRIOR, UNKNOWN_SHARE = 0.02, 1e-4
 #: Words whose scores a task keeps.
@@ -45,15 +47,12 @@ class Model:
     probs: np.ndarray  # (pieces + 1, languages); the last is a character that is no piece
 
 
-def units(words: list[str]) -> tuple[list[str], np.ndarray]:
-    """Words with their leading mark, cut to WORD_CHARS, and which word each is of."""
-    out, of = [], []
-    for i, w in enumerate(words):
-        w = vocabulary.SPACE + w
-        for a in range(0, len(w), WORD_CHARS):
-            out.append(w[a : a + WORD_CHARS])
-            of.append(i)
-    return out, np.array(of, np.int64)
+def parted(words: list[str]) -> tuple[list[str], np.ndarray, list[str], np.ndarray]:
+    """Words with their leading mark, and which word each is of: those of at most WORD_CHARS code points, then longer ones by length."""
+    marked = [vocabulary.SPACE + w for w in words]
+    short = [i for i, w in enumerate(marked) if len(w) <= WORD_CHARS]
+    long = sorted((i for i, w in enumerate(marked) if len(w) > WORD_CHARS), key=lambda i: len(marked[i]))
+    return [marked[i] for i in short], np.array(short, np.int64), [marked[i] for i in long], np.array(long, np.int64)
 
 
 def by_length(strings: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -86,20 +85,81 @@ def forward(table: PieceTable, probs: np.ndarray, points: np.ndarray, found=None
     return alpha
 
 
+def _padded(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of strings, a row each, and their numbers."""
+    lens = np.array([len(s) for s in strings])
+    points = np.zeros((len(strings), lens.max()), np.uint32)
+    for i, s in enumerate(strings):
+        points[i, : lens[i]] = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return points, lens
+
+
+def walk(table: PieceTable, probs: np.ndarray, points: np.ndarray, lens: np.ndarray, back: bool = False) -> Iterator[tuple[int, np.ndarray]]:
+    """Long words from their first code point to their last, in logs: (end, (words, languages)) for each end.
+
+    That is the log of the summed probability of all segmentations up to there. Only
+    the sums of the last ``longest`` positions are held, relative to the newest, so a
+    word's length is bounded by nothing. With ``back`` rows are read from their last
+    code point to their first (all must be of one length): (start, sums from there on).
+    """
+    n, w, longest = points.shape[1], len(points), table.longest
+    none = len(probs)
+    padded = np.vstack([probs, np.zeros((1, probs.shape[1]))])
+    ring = np.zeros((longest, w, probs.shape[1]))  # by distance
+    ring[0] = 1
+    log = np.zeros((w, probs.shape[1]))
+    step = max(longest, BLOCK_CHARS // w)
+    for lo in range(0, n, step):
+        hi = min(n, lo + step)
+        a, b = (max(0, n - hi), n - lo) if back else (max(0, lo + 1 - longest), hi)
+        places = table.spans(points, lens, a, b)
+        places[0] = np.where((places[0] < 0) & (np.arange(a, b) < lens[:, None]), none - 1, places[0])  # the unknown character
+        places = np.where(places < 0, none, places)
+        for at in range(lo + 1, hi + 1):  # code points done, from either side
+            if back:
+                which = places[:, :, n - at - a]
+            else:
+                which = np.full((longest, w), none)
+                size = np.arange(1, min(longest, at) + 1)
+                which[size - 1] = places[size - 1, :, at - size - a]
+            new = (ring * padded[which]).sum(axis=0)
+            live = new > 0  # false behind a word's end
+            scale = np.where(live, new, 1.0)
+            ring[1:] = np.minimum(ring[:-1] / scale, 1e300)
+            ring[0] = 1
+            log += np.log(scale)
+            yield n - at if back else at, log
+
+
+def long_batches(strings: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of strings, sorted by length, that are walked together."""
+    a = 0
+    for b in range(1, len(strings) + 1):
+        if b == len(strings) or (b + 1 - a) * len(strings[b]) > BLOCK_CHARS or len(strings[b]) > 2 * len(strings[a]):
+            yield a, b
+            a = b
+
+
 def log_probs(model: Model, words: list[str]) -> np.ndarray:
-    """(words, languages)."""
+    """(words, languages): the log of the summed probability of all segmentations of each word."""
     out = np.zeros((len(words), len(model.langs)))
-    strings, of = units(words)
-    for at, points in by_length(strings):
-        np.add.at(out, of[at], np.log(forward(model.table, model.probs, points)[-1]))
+    short, of, long, of_long = parted(words)
+    for at, points in by_length(short):
+        out[of[at]] = np.log(forward(model.table, model.probs, points)[-1])
+    for a, b in long_batches(long):
+        points, lens = _padded(long[a:b])
+        for end, log in walk(model.table, model.probs, points, lens):
+            if end >= lens[0]:
+                done = np.flatnonzero(lens == end)
+                out[of_long[a + done]] = log[done]
     return out
 
 
 def _expected(table: PieceTable, probs: np.ndarray, words: list[str], counts: np.ndarray) -> np.ndarray:
     """Expected uses of each piece over all segmentations of the words (one language: probs has one column)."""
     total = np.zeros(len(probs))
-    strings, of = units(words)
-    for at, points in by_length(strings):
+    short, of, long, of_long = parted(words)
+    for at, points in by_length(short):
         n, found = points.shape[1], table.substrings(points)
         alpha = forward(table, probs, points, found)[:, :, 0]
         beta = np.zeros_like(alpha)
@@ -116,6 +176,23 @@ def _expected(table: PieceTable, probs: np.ndarray, words: list[str], counts: np
                 p = place[some]
                 use = alpha[start][some] * probs[p, 0] * beta[end][some] * weight[some]
                 total += np.bincount(np.where(p < 0, len(probs) - 1, p), use, len(probs))
+    for word, count in zip(long, counts[of_long], strict=True):  # in logs, from both sides
+        points, lens = _padded([word])
+        n = len(word)
+        ahead, behind = np.zeros(n + 1), np.zeros(n + 1)
+        for end, log in walk(table, probs, points, lens):
+            ahead[end] = log[0, 0]
+        for start, log in walk(table, probs, points, lens, back=True):
+            behind[start] = log[0, 0]
+        for lo in range(0, n, BLOCK_CHARS):
+            places = table.spans(points, lens, lo, min(n, lo + BLOCK_CHARS))[:, 0]
+            for size in range(1, table.longest + 1):
+                start = np.arange(lo, lo + places.shape[1])[: max(0, n - size + 1 - lo)]
+                p = places[size - 1][: len(start)]
+                if size == 1:
+                    p = np.where(p < 0, len(probs) - 1, p)
+                start, p = start[p >= 0], p[p >= 0]
+                total += np.bincount(p, count * np.exp(ahead[start] + np.log(probs[p, 0]) + behind[start + size] - ahead[n]), len(probs))
     return total
 
 

@@ -77,3 +77,17 @@ class PieceTable:
             for start in range(n - size + 1):
                 found[start, start + size] = self.find(self.hash_all(points[:, start : start + size], size))
         return found
+
+    def spans(self, points: np.ndarray, lens: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """(size - 1, row, start - lo): the place of the piece of that size at each start from ``lo`` up to ``hi``, -1 where there is none; rows have ``lens`` code points."""
+        out = np.full((self.longest, len(points), hi - lo), -1, np.int32)
+        h, power, wrap = np.zeros((len(points), hi - lo), np.uint64), 1, (1 << 64) - 1
+        for size in range(1, self.longest + 1):
+            m = min(hi, points.shape[1] - size + 1) - lo
+            if m <= 0:
+                break
+            h = h[:, :m] * _BASE + points[:, lo + size - 1 : lo + size - 1 + m]
+            power = power * int(_BASE) & wrap
+            found = self.find(mix((h + np.uint64(size * power & wrap)).ravel())).reshape(h.shape)
+            out[size - 1, :, :m] = np.where(np.arange(lo, lo + m) + size <= lens[:, None], found, -1)
+        return out
