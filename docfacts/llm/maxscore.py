@@ -12,9 +12,11 @@ by term, and for each query
 * walks the essential postings into partial sums, in order of falling bounds,
 * probes the other terms for candidates whose partial sum plus remaining bounds
   still reaches the threshold,
-* raises the threshold with the k-th best exact score seen.
+* raises the threshold with the k-th best exact score of the candidates that lead
+  so far, whenever a few more terms are done.
 
-Each task gives k rows per query at most; these are merged by a window over k
+The first shard goes ahead of the others: its k-th best score of a query is where
+the query's threshold begins in all of them. Each task gives k rows per query at most; these are merged by a window over k
 rows a shard, not over the candidates. Scores are integers, so results are exact.
 """
 
@@ -31,6 +33,8 @@ from docfacts.llm.common import saved
 
 #: Vectors in a shard and queries in a block, on average.
 SHARD_ROWS, BLOCK_ROWS = 8192, 1024
+#: Terms that are probed between two attempts to raise the threshold.
+RAISE_TERMS = 12
 
 
 def quantised(embedding: Column, scale: int = 1024) -> Column:
@@ -50,24 +54,28 @@ class Shard:
         self.most = self.vectors.max(axis=1, initial=0)
         self.least = self.vectors.min(axis=1, initial=0)
 
-    def search(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best candidates, best first, ties to smaller ids; ``own`` is left out."""
+    def search(self, own: int, query: np.ndarray, k: int, threshold: float = -math.inf) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best candidates of at least ``threshold``, best first, ties to smaller ids; ``own`` is left out."""
         terms = np.flatnonzero(query)
         bound = np.where(query[terms] > 0, query[terms] * self.most[terms], query[terms] * self.least[terms])
         falling = np.argsort(-bound, kind="stable")
         terms, bound = terms[falling], bound[falling]
         rest = np.concatenate((np.cumsum(bound[::-1])[::-1], [0]))  # what terms from here on can add at most
         open_ = self.ids != own
-        # Threshold: exact scores of the candidates that the strongest posting favours most.
-        threshold = -math.inf
+
+        def raised(some: np.ndarray) -> float:
+            """The threshold after the exact scores of some candidates."""
+            if len(some) < k:
+                return threshold
+            return max(threshold, np.partition(query @ self.vectors[:, some], len(some) - k)[len(some) - k])
+
+        # It begins with the candidates that the strongest posting favours most.
         if len(terms):
             lists = self.up if query[terms[0]] > 0 else self.down
             first = lists[terms[0]]
             first = first[open_[first]]
             gain = query[terms[0]] * self.vectors[terms[0]][first]
-            some = first[np.argsort(-gain, kind="stable")[: 4 * k]]
-            if len(some) >= k:
-                threshold = np.partition(query @ self.vectors[:, some], len(some) - k)[len(some) - k]
+            threshold = raised(first[np.argsort(-gain, kind="stable")[: 4 * k]])
         # Terms from ``split`` on are non-essential: alone they stay below the threshold.
         split = int(np.flatnonzero(rest < threshold)[0]) if (rest < threshold).any() else len(terms)
         if threshold <= 0:  # a candidate on no essential posting, with a score of 0 or less, may still win
@@ -89,6 +97,8 @@ class Shard:
                 keep = partial + rest[done] >= threshold
                 live, partial = live[keep], partial[keep]
         for i in range(done, len(terms)):
+            if (i - done) % RAISE_TERMS == 0 and len(live) > 4 * k:
+                threshold = raised(live[np.argpartition(-partial, 4 * k)[: 4 * k]])
             partial = partial + query[terms[i]] * self.vectors[terms[i]][live]
             if len(live) > k:
                 keep = partial + rest[i + 1] >= threshold
@@ -120,19 +130,29 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     shards = max(1, math.ceil(able.count() / SHARD_ROWS))
     blocks = max(1, math.ceil(asking.count() / BLOCK_ROWS))
     left = able.select("id", "vec", F.pmod(F.xxhash64("id", "vec"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = asking.select("id", "vec", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")
 
     def run(docs: pa.Table, asks: pa.Table) -> pa.Table:
         out: list[tuple[int, int, int]] = []
         if len(docs) and len(asks):
             width = max(max(t["vec"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False).max() for t in (docs, asks)), 1)
             shard = Shard(docs["id"].to_numpy(), _matrix(docs["vec"], width))
-            for own, q in zip(asks["id"].to_numpy(), _matrix(asks["vec"], width), strict=True):
-                ids, scores = shard.search(int(own), q, k)
+            for own, q, least in zip(asks["id"].to_numpy(), _matrix(asks["vec"], width), asks["least"].to_pylist(), strict=True):
+                ids, scores = shard.search(int(own), q, k, -math.inf if least is None else least)
                 out += [(int(own), int(i), int(s)) for i, s in zip(ids, scores, strict=True)]
         return pa.table([pa.array([o[j] for o in out], pa.int64()) for j in range(3)], ["query_id", "vec_id", "score"])
 
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(run, "query_id long, vec_id long, score long")
+    def searched(at: int, upto: int, asks: DataFrame) -> DataFrame:
+        """The best of each of some shards."""
+        right = asks.select("id", "vec", "least", F.explode(F.sequence(F.lit(at), F.lit(upto - 1))).alias("shard"), block)
+        some = left.filter((F.col("shard") >= at) & (F.col("shard") < upto))
+        return some.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(run, "query_id long, vec_id long, score long")
+
+    found = searched(0, 1, asking.withColumn("least", F.lit(None).cast("long")))
+    if shards > 1:
+        found = saved(found)
+        least = found.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
+        found = found.unionByName(searched(1, shards, asking.join(least, "id", "left")))
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
