@@ -214,13 +214,15 @@ def fit_rules(x: np.ndarray, y: np.ndarray) -> Ensemble:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Ensemble:
-    """``docs`` (id, text) and ``labels`` (id, label 0 or 1; other labels teach nothing; the smallest of a repeated id counts)."""
+    """``docs`` (id, text) and ``labels`` (id, label 0 or 1; other labels teach nothing; the smallest of a repeated id counts, in labels and in statistics), of at most FIT_ROWS ids."""
     small_batches(docs.sparkSession)
     able = labels.filter("id is not null and label in (0, 1)").groupBy("id").agg(F.min("label").alias("label"))
     n = able.count()
     span = 1 << 30
-    sample = F.broadcast(able.filter(F.pmod(F.xxhash64("id"), F.lit(span)) < int(span * min(1.0, FIT_ROWS / max(n, 1)))))  # about FIT_ROWS rows
-    rows = docs.join(sample, "id").select("id", "label", statistics("text").alias("s")).select("id", "label", "s.*").collect()
+    about = able.filter(F.pmod(F.xxhash64("id"), F.lit(span)) < int(span * min(1.0, FIT_ROWS / max(n, 1))))
+    sample = F.broadcast(about.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS))
+    found = docs.join(sample, "id").select("id", "label", statistics("text").alias("s")).groupBy("id", "label").agg(F.min("s").alias("s"))  # an id teaches once
+    rows = found.select("id", "label", "s.*").collect()
     rows.sort(key=tuple)
     x = np.array([r[2:] for r in rows], float).reshape(len(rows), len(STATS))
     return fit_rules(x, np.array([r[1] for r in rows], float))
