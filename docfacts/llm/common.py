@@ -48,8 +48,8 @@ def saved(df: DataFrame, narrow: bool = False) -> DataFrame:
 
     A table, not checkpoint(), so that the plan read back is a plain scan: loops
     then plan each round afresh, with nothing carried along from the rounds before.
-    A ``narrow`` table, of a few numbers a row behind a shuffle, is written by an
-    eighth of the shuffle's partitions. The tables go with ``discard``, or when the
+    A ``narrow`` table, of a few numbers a row behind a shuffle, is written by a
+    quarter of the shuffle's partitions. The tables go with ``discard``, or when the
     driver's Python ends.
     """
     spark = df.sparkSession
@@ -58,7 +58,7 @@ def saved(df: DataFrame, narrow: bool = False) -> DataFrame:
     path = f"{shared_dir(spark)}/saved-{uuid.uuid4().hex}"
     _made.append((spark, path))
     if narrow:
-        df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+        df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
     df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path

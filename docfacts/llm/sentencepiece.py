@@ -186,7 +186,7 @@ def distinct_units(docs: DataFrame, path: str = vocabulary.DEFAULT) -> DataFrame
         if found:
             yield put(found)
 
-    return saved(docs.select("text").mapInArrow(run, "h long, unit string, n long").groupBy("h", "unit").agg(F.sum("n").alias("n")), narrow=True)
+    return saved(docs.select("text").mapInArrow(run, "h long, unit string, n long").groupBy("h", "unit").agg(F.sum("n").alias("n")))
 
 
 def shared_hashes(units: DataFrame) -> np.ndarray:
@@ -213,7 +213,7 @@ def lattice(units: DataFrame, path: str = vocabulary.DEFAULT) -> DataFrame:
         scores[i + 1] = float(s)
     score_of = F.from_json(F.lit(json.dumps(scores)), "array<double>")  # folded into one constant
     table = spark.createDataFrame([(p.replace(vocabulary.SPACE, " "), i) for i, p, _ in pieces], "piece string, id int")
-    dealt = units.repartition("h")
+    dealt = units.repartition(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), "h")  # a unit has some hundred substrings
     spans = (
         dealt.withColumn("s", F.explode(F.sequence(F.lit(1), F.length("unit"))))
         .withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("unit") - F.col("s") + 1))))
