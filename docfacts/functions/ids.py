@@ -61,11 +61,15 @@ def format_tax_id(c: Column) -> Column:
     return F.when(F.length(d) == 11, F.regexp_replace(d, r"^(\d{2})(\d{8})(\d)$", "$1-$2-$3")).otherwise(F.coalesce(c.cast("string"), F.lit("")))
 
 
+# Fixed value: a tax id with or without its label.
+LABELLED_TAX_ID = r"(?i)\b(?:CUIT|C\.?U\.?I\.?T\.?)?\s*[:#-]?\s*(\d{2}[- ]?\d{8}[- ]?\d)\b"
+
+
 def first_tax_id(text: Column) -> Column:
-    """The first candidate with a right check digit; else the first one of eleven digits; else empty."""
+    """The first candidate with a right check digit; else the first labelled or plain one, whatever its check digit; else empty."""
     found = F.transform(F.regexp_extract_all(text, F.lit(r"(\b\d{2}[- ]?\d{8}[- ]?\d\b|\b\d{11}\b)")), digits)
-    good = F.filter(found, valid_tax_id)
-    return F.coalesce(format_tax_id(F.get(good, F.lit(0))), F.nullif(format_tax_id(F.get(found, F.lit(0))), F.lit("")), F.lit(""))
+    good = F.get(F.filter(found, valid_tax_id), F.lit(0))
+    return F.coalesce(*[F.nullif(format_tax_id(c), F.lit("")) for c in (good, F.regexp_extract(text, LABELLED_TAX_ID, 1))], F.lit(""))
 
 
 def letter_of_code(c: Column) -> Column:

@@ -20,17 +20,25 @@ def clamp(limit, default: int = DEFAULT_PAGE, most: int = LARGEST_PAGE) -> int:
 
 
 def with_position(df: DataFrame, path: str, name: str = "id") -> DataFrame:
-    """Position of each row by descending path, before any filter.
+    """Position of each row by descending path (null last), before any filter; rows of one path follow each other by their contents.
 
-    Paths alone are range-partitioned and saved with their place in the partition;
-    starts come from counts of the partitions before, so no task sees all rows.
+    Paths are counted and range-partitioned, and a partition's first position comes
+    from the counts of the partitions before, so no task sees all rows; each path's
+    rows are numbered where they meet their path's first position.
     """
-    spread = df.select(F.col(path).alias("_path")).repartitionByRange(F.desc("_path")).sortWithinPartitions(F.desc("_path"))
-    local = saved(spread.select("_path", F.spark_partition_id().alias("_p"), (F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("_r")))
-    counts = local.groupBy("_p").agg(F.count("*").alias("_n"))
-    starts = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
-    places = local.join(starts, "_p").select("_path", (F.col("_r") + F.col("_s")).cast("long").alias(name))
-    return df.join(places, F.col(path) == F.col("_path")).drop("_path")
+    named = {"_path": F.coalesce(path, F.lit("")), "_none": F.col(path).isNull()}
+    order = [F.asc("_none"), F.desc("_path")]
+    counts = df.select(*[c.alias(n) for n, c in named.items()]).groupBy("_path", "_none").agg(F.count("*").alias("_n"))
+    spread = counts.repartitionByRange(*order).sortWithinPartitions(*order)
+    local = saved(spread.select("_path", "_none", "_n", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_r")))
+    before = (Window.unboundedPreceding, -1)
+    sums = local.groupBy("_p").agg(F.sum("_n").alias("_sum"))
+    starts = sums.select("_p", F.coalesce(F.sum("_sum").over(Window.orderBy("_p").rowsBetween(*before)), F.lit(0)).alias("_s"))
+    upto = F.coalesce(F.sum("_n").over(Window.partitionBy("_p").orderBy("_r").rowsBetween(*before)), F.lit(0))
+    places = local.withColumn("_upto", upto).join(starts, "_p").select("_path", "_none", (F.col("_upto") + F.col("_s")).alias("_first"))
+    inside = F.row_number().over(Window.partitionBy("_path", "_none").orderBy(F.xxhash64(*[F.col(c) for c in df.columns])))
+    rows = df.withColumns(named).withColumn("_in", inside).join(places, ["_path", "_none"])
+    return rows.select(*df.columns, (F.col("_first") + F.col("_in")).cast("long").alias(name))
 
 
 def matching(

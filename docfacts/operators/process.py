@@ -38,7 +38,7 @@ def with_fields(docs: DataFrame) -> DataFrame:
     keep = docs.columns
     pdf, ocr = F.btrim(F.coalesce("pdf_text", F.lit(""))), F.btrim(F.coalesce("ocr_text", F.lit("")))
     some = docs.withColumns({"_p": F.when(pdf != "", F.col("pdf_text")), "_o": F.when((ocr != "") & (ocr != pdf), F.col("ocr_text"))})
-    some = some.withColumns({"_pn": extract.number("_p"), "_on": extract.number("_o")})
+    some = some.withColumns({"_pn": extract.number(F.col("_p")), "_on": extract.number(F.col("_o"))})
     p, o, coded = text_values(F.col("_p"), "_pn"), text_values(F.col("_o"), "_on"), coded_values(F.col("qr"))
     values = some.select(
         *keep, F.to_json("qr").alias("_json"), *[F.when(F.col(s).isNotNull(), v).alias(f"{s}_{n}") for s, of in (("_p", p), ("_o", o)) for n, v in of.items()], *[v.alias(f"_q_{n}") for n, (v, _) in coded.items()]

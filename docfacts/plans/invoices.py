@@ -27,7 +27,7 @@ def q_total_us(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("extract_number", _sql("id, point, number"))
 def q_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.documents(spark, sf_dir).select("id", extract.number("body").alias("n")).select("id", "n.point", "n.number")
+    return render.documents(spark, sf_dir).select("id", extract.number(F.col("body")).alias("n")).select("id", "n.point", "n.number")
 
 
 @query("extract_date", _sql("id, issued, issued AS expiry"))

@@ -75,13 +75,13 @@ def test_issuer_wins_over_customer_printed_first(spark):
 
 def test_phone_is_no_number(spark):
     body = "Tel: 4444 - 12345678\n" + "relleno de texto\n" * 20 + "Factura A N° 0003-00001234"
-    got = spark.createDataFrame([(body,)], "c string").select(extract.number("c").alias("n")).first()["n"]
+    got = spark.createDataFrame([(body,)], "c string").select(extract.number(F.col("c")).alias("n")).first()["n"]
     assert (got["point"], got["number"]) == ("0003", "00001234")
 
 
 def test_five_digit_point_stays(spark):
     body = "Punto de Venta: 00018 Comp. Nro: 123456"
-    got = spark.createDataFrame([(body,), (None,), ("nada",)], "c string").select(extract.number("c").alias("n")).collect()
+    got = spark.createDataFrame([(body,), (None,), ("nada",)], "c string").select(extract.number(F.col("c")).alias("n")).collect()
     assert [tuple(r["n"]) for r in got] == [("00018", "00123456"), ("", ""), ("", "")]
 
 
@@ -157,3 +157,34 @@ def test_second_extractor(spark):
     assert one(spark, "Comprobante: 3-45", advanced.number) == "00003-00000045" and one(spark, "NOTA DE CRÉDITO A", advanced.kind) == "NOTA_CREDITO"
     assert one(spark, "IB. Mnes", advanced.jurisdiction) == "Misiones" and one(spark, None, lambda c: advanced.record(c)["total"]) is None
     assert one(spark, " a1 \n\n b2", text.lines) == ["a1", "b2"]
+
+
+def test_tax_id_with_a_wrong_check_digit_is_a_last_resort(spark):
+    assert one(spark, "CUIT: 30-00000000-0", ids.first_tax_id) == "30-00000000-0"
+    assert one(spark, f"CUIT: 30-00000000-0 y {ISSUER}", ids.first_tax_id) == ISSUER
+    assert one(spark, "nada", ids.first_tax_id) == ""
+
+
+def test_letter_at_the_end_of_a_line(spark):
+    assert one(spark, "ACME SRL  A\nDireccion x\nFACTURA", extract.letter) == "A"
+    assert one(spark, "relleno\n" * 120 + "ACME SRL  A\nDireccion x\nFACTURA", extract.letter) is None
+    assert one(spark, "ACME SRL  A\n" + "relleno\n" * 30 + "FACTURA", extract.letter) is None
+
+
+def test_total_with_a_table_heading_far_away(spark):
+    heading = "Cantidad Descripción Precio Unit.\n"
+    assert one(spark, heading + "x\n" * 140 + "IVA TOTAL\n1.234,50", extract.total) == D("1234.50")
+    assert one(spark, heading + "IVA TOTAL\n1.234,50", extract.total) == D("0.00")
+    assert one(spark, "IVA TOTAL\n1.234,50\nIVA TOTAL\n99,00 CAE 7000", extract.total) == D("1234.50")
+
+
+def test_number_with_the_best_surroundings(spark):
+    def number(body):
+        n = spark.createDataFrame([(body,)], "c string").select(extract.number(F.col("c")).alias("n")).first()["n"]
+        return n["point"], n["number"]
+
+    far = "abc def\n" * 140
+    assert number("0001-00000001\n" + far + "FACTURA 0002-00000002") == ("0002", "00000002")
+    assert number(far + "0001-00000001") == ("", "")  # late, and nothing speaks for it
+    assert number("FACTURA 0001-00000001 FACTURA 0002-00000002") == ("0001", "00000001")
+    assert number("VENDEDOR 0001-00000001") == ("", "")

@@ -92,24 +92,42 @@ def test_listing(spark):
     rows = spark.createDataFrame([(f"f{i:03d}",) for i in range(50)], "path string")
     got = {r["path"]: r["id"] for r in listing.with_position(rows, "path").collect()}
     assert all(got[f"f{i:03d}"] == 50 - i for i in range(50))
+    twice = spark.createDataFrame([("b", 1), (None, 2), ("a", 3), ("b", 4), (None, 5)], "path string, n int")
+    found = listing.with_position(twice, "path").collect()
+    assert sorted(r["id"] for r in found) == [1, 2, 3, 4, 5] and {r["n"]: (r["id"] + 1) // 2 if r["n"] in (1, 4) else r["id"] for r in found if r["path"]} == {1: 1, 4: 1, 3: 3}
+    assert {r["id"] for r in found if r["path"] is None} == {4, 5} and listing.with_position(twice.limit(0), "path").count() == 0
     with pytest.raises(ValueError):
         listing.by_prefix(rows, "path", "xyz")
     m = spark.range(1).select(listing.redacted(F.create_map(F.lit("API_KEY"), F.lit("v"), F.lit("n"), F.lit("v"))).alias("m")).first()["m"]
     assert m == {"API_KEY": "***", "n": "v"}
 
 
-def test_items_and_perceptions():
+def test_items_and_perceptions(spark):
     body = "FACTURA A\nCantidad  Descripción  Precio  Subtotal\nTornillo largo  2  1.000,00  2.000,00\nde acero\nIVA  1  1,00  1,00\nSubtotal: 2.000,00\nOtra  1  1,00  1,00"
     assert items.items_of(body) == [{"descripcion": "Tornillo largo de acero", "cantidad": D(2), "precio_unitario": D("1000.00"), "subtotal": D("2000.00")}]
     assert items.items_of(None) == [] and items.items_of("nada") == []
     text = "Ingresos Brutos: 30-50001091-2\nPercepción IIBB Misiones\n$ 1.230,50\nPercepción IIBB Misiones 230,50\nPercepciones Ingresos Brutos Córdoba: 45,00"
-    assert [(p["jurisdiccion"], p["codjur"], p["importe"]) for p in items.perceptions_of(text)] == [("MISIONES", "914", D("1230.50")), ("CORDOBA", "904", D("45.00"))]
+
+    def found(*bodies):
+        rows = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, c string").select("i", items.perceptions(F.col("c")).alias("p")).orderBy("i").collect()
+        return [[(p["jurisdiccion"], p["codjur"], p["importe"]) for p in r["p"]] for r in rows]
+
+    misiones = [("MISIONES", "914", D("1230.50"))]
+    assert found(text, None, "") == [[*misiones, ("CORDOBA", "904", D("45.00"))], [], []]
+    assert found("Percepcion IIBB Misiones\nTOTAL 999,00") == [[]]  # another field's amount
+    assert found("Percepcion IIBB Misiones\nSUBTOTAL 9,00\n1.230,50\nTOTAL 7,00\n8.000,00") == [misiones]
+    assert found("Percepcion IIBB Misiones 3,00\n20,00\n1.230,50", "Percepcion IIBB Misiones 60,00\n1.230,50") == [misiones, [("MISIONES", "914", D("60.00"))]]
+    assert found("PERCEPCIONES\nMisiones 1.230,50", "PERCEPCIONES\n1.230,50", "IIBB Misiones RESPONSABLE 5,00") == [misiones, [], []]
+    assert found("IIBB Misiones 1.230,50\nIIBB Misiones 1.230,50\nIIBB Salta 12,00\nIIBB Salta 712,00") == [[*misiones, ("SALTA", "0", D("712.00"))]]
 
 
 def test_page_layout(spark):
     rows = [(1, 0, 10.0, 100.0, 30.0, "Total"), (1, 0, 80.0, 101.0, 99.0, "5"), (1, 0, 32.0, 102.0, 40.0, "a"), (1, 0, 10.0, 200.0, 20.0, "fin")]
     got = items.page_texts(spark.createDataFrame(rows, "doc long, page int, x0 double, y0 double, x1 double, text string")).first()["text"]
-    assert got == "Total a  5\nfin" or got == "Total a    5\nfin"
+    assert got == "Total a  5\nfin"
+    rows = [(1, 0, 50.0, 10.0, 60.0, "b"), (1, 0, 10.0, 13.0, 20.0, "a"), (1, 0, 90.0, 15.0, 99.0, "c"), (1, 0, 200.0, 18.0, 210.0, "next"), (1, 0, 10.0, 99.0, 20.0, " "), (2, 3, 1.0, 1.0, 2.0, "x")]
+    pages = items.page_texts(spark.createDataFrame(rows, "doc long, page int, x0 double, y0 double, x1 double, text string")).collect()
+    assert {(r["doc"], r["page"]): r["text"] for r in pages} == {(1, 0): "a  b  c\nnext", (2, 3): "x"}
 
 
 def test_sources(spark, tmp_path):
