@@ -81,6 +81,11 @@ def raw_lines(c: Column) -> Column:
     return F.split(F.coalesce(c, F.lit("")), r"\R")
 
 
+def folded_lines(c: Column) -> Column:
+    """Lines in upper case without accents: what several searches of one text share."""
+    return raw_lines(fold(F.coalesce(c, F.lit(""))))
+
+
 def cut_words(c: Column, most: int = 80) -> Column:
     """Text with single spaces, cut after a whole word to at most ``most`` characters, with an ellipsis if cut."""
     clean = F.btrim(F.regexp_replace(c, r"\s+", " "))

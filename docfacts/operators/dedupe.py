@@ -26,19 +26,42 @@ def unseen(df: DataFrame, key: str, *known: DataFrame) -> DataFrame:
     return df.join(keys, key, "left_anti")
 
 
-def hash_pairs(df: DataFrame, key: str, bits: Column, width: int, radius: int) -> DataFrame:
-    """Pairs (a, b, distance) of hashes at most ``radius`` bits apart.
+def hash_pairs(df: DataFrame, key: str, bits: Column | list[Column], width: int, radius: int) -> DataFrame:
+    """Pairs (a, b, distance) of hashes at most ``radius`` bits apart; a hash is a long or several, of ``width`` bits each.
 
-    ``width`` bits are cut in radius + 1 bands: such hashes have a band in common
+    It is cut in more than ``radius`` bands: such hashes have a band in common
     (pigeonhole), so an equi-join by band loses none. A pair is made in the first
     band that it shares, so that no distinct is needed.
+
+    Defined cases: a hash with a null part, and a null key, are in no pair; rows that
+    repeat a key make pairs with other keys, each for itself; an empty table gives no rows.
     """
-    bands = radius + 1
-    cuts = [width * i // bands for i in range(bands + 1)]
-    parts = [F.shiftrightunsigned(F.col("bits"), lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
-    rows = df.select(F.col(key).alias("id"), bits.alias("bits")).select("id", "bits", F.posexplode(F.array(*parts)).alias("band", "part"), F.array(*parts).alias("parts"))
+    bits = bits if isinstance(bits, list) else [bits]
+    each = -(-(radius + 1) // len(bits))
+    cuts = [width * i // each for i in range(each + 1)]
+    parts = [F.shiftrightunsigned(F.col("bits")[k], lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for k in range(len(bits)) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+    hashed = df.select(F.col(key).alias("id"), F.array(*bits).alias("bits")).filter(F.col("id").isNotNull() & ~F.exists("bits", lambda x: x.isNull()))
+    rows = hashed.select("id", "bits", F.array(*parts).alias("parts")).select("id", "bits", "parts", F.posexplode("parts").alias("band", "part"))
     a, b = rows.alias("a"), rows.alias("b")
     met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.id") < F.col("b.id")))
-    distance = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits")))
-    earlier = F.exists(F.arrays_zip(F.slice("a.parts", F.lit(1), F.col("a.band")), F.slice("b.parts", F.lit(1), F.col("a.band"))), lambda z: z["0"] == z["1"])
-    return met.filter((distance <= radius) & ~earlier).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), distance.alias("distance"))
+    distance = F.aggregate(F.zip_with("a.bits", "b.bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    earlier = F.exists(F.arrays_zip(F.slice("a.parts", F.lit(1), F.col("a.band")), F.slice("b.parts", F.lit(1), F.col("b.band"))), lambda z: z["0"] == z["1"])
+    found = met.filter(~earlier).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), distance.alias("distance"))
+    return found.filter(F.col("distance") <= radius)
+
+
+def ttl_near(df: DataFrame, key: str, bits: list[Column], width: int, radius: int, ts: str, hours: int) -> DataFrame:
+    """Adds ``near_of``: the key of the nearest earlier row at most ``hours`` old whose hash is within ``radius``, of several the latest; null without one.
+
+    Earlier is by time, then by key.
+    """
+    seen = df.select(F.col(key).alias("_k"), F.col(ts).alias("_ts"))
+    pairs = hash_pairs(df, key, bits, width, radius)
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
+    old = seen.select(F.col("_k").alias("a"), F.col("_ts").alias("_old"))
+    new = seen.select(F.col("_k").alias("b"), F.col("_ts").alias("_new"))
+    held = both.join(old, "a").join(new, "b").filter(
+        ((F.col("_old") < F.col("_new")) | ((F.col("_old") == F.col("_new")) & (F.col("a") < F.col("b")))) & (F.timestamp_diff("SECOND", F.col("_old"), F.col("_new")) <= hours * 3600)
+    )
+    best = held.groupBy(F.col("b").alias("_b")).agg(F.max(F.struct((-F.col("distance")).alias("near"), "_old", "a"))["a"].alias("near_of"))
+    return df.join(best, F.col(key) == F.col("_b"), "left").drop("_b")

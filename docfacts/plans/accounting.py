@@ -209,25 +209,26 @@ def q_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LOOKUP_SQL = """
 WITH c AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN lpad(CAST(c_custkey % (SELECT count(*) FROM supplier) + 1 AS VARCHAR), 4, '0') ELSE '' END AS code,
-                  CASE WHEN c_custkey % 3 = 1 THEN 'supplier#' || lpad(CAST(c_custkey % (SELECT count(*) FROM supplier) + 1 AS VARCHAR), 9, '0') ELSE 'nobody' END AS name FROM customer),
-s AS (SELECT s_suppkey, lpad(CAST(s_suppkey AS VARCHAR), 4, '0') AS code, lower(s_name) AS name FROM supplier),
+                  CASE WHEN c_custkey % 3 = 1 THEN 'lier#' || substr(lpad(CAST(c_custkey % (SELECT count(*) FROM supplier) + 1 AS VARCHAR), 9, '0'), 1, 8) WHEN c_custkey % 6 = 2 THEN 'CION 1' WHEN c_custkey % 6 = 5 THEN 'nobody' ELSE '' END AS name FROM customer),
+s AS (SELECT s_suppkey, lpad(CAST(s_suppkey AS VARCHAR), 4, '0') AS code, s_name AS name, 'Nacion ' || CAST(s_nationkey AS VARCHAR) AS other FROM supplier),
 a AS (SELECT c.id, min(s.s_suppkey) AS k FROM c JOIN s ON s.code = c.code GROUP BY c.id),
-b AS (SELECT c.id, min(s.s_suppkey) AS k FROM c JOIN s ON s.name = c.name GROUP BY c.id)
+b AS (SELECT c.id, min(s.s_suppkey) AS k FROM c JOIN s ON c.name <> '' AND (contains(upper(s.name), upper(c.name)) OR contains(upper(s.other), upper(c.name))) GROUP BY c.id)
 SELECT c.id, coalesce(a.k, b.k) AS provider, CASE WHEN a.k IS NOT NULL THEN 'id' WHEN b.k IS NOT NULL THEN 'name' ELSE 'none' END AS how FROM c LEFT JOIN a USING (id) LEFT JOIN b USING (id)
 """
 
 
 @query("provider_lookup_two_tier", LOOKUP_SQL)
 def q_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By id, then by name; of several the smallest. Both tiers are equi-joins: names are compared folded, whole."""
+    """By id, then by a part of either name; of several the smallest."""
+    from docfacts.operators.lookup import two_tier
+
     s = table(spark, sf_dir, "supplier")
     n = s.count()
-    by_code = s.groupBy(F.lpad(F.col("s_suppkey").cast("string"), 4, "0").alias("code")).agg(F.min("s_suppkey").alias("a"))
-    by_name = s.groupBy(F.lower("s_name").alias("name")).agg(F.min("s_suppkey").alias("b"))
     other = F.col("c_custkey") % n + 1
+    part = F.concat(F.lit("lier#"), F.substring(F.lpad(other.cast("string"), 9, "0"), 1, 8))  # those of ten suppliers share it
     c = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 3 == 0, F.lpad(other.cast("string"), 4, "0")).otherwise("").alias("code"),
-        F.when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("supplier#"), F.lpad(other.cast("string"), 9, "0"))).otherwise("nobody").alias("name"),
+        F.when(F.col("c_custkey") % 3 == 1, part).when(F.col("c_custkey") % 6 == 2, "CION 1").when(F.col("c_custkey") % 6 == 5, "nobody").otherwise("").alias("name"),
     )
-    rows = c.join(by_code, "code", "left").join(by_name, "name", "left")
-    return rows.select("id", F.coalesce("a", "b").alias("provider"), F.when(F.col("a").isNotNull(), "id").when(F.col("b").isNotNull(), "name").otherwise("none").alias("how"))
+    parties = s.select(F.col("s_suppkey").alias("party"), F.lpad(F.col("s_suppkey").cast("string"), 4, "0").alias("code"), "s_name", F.concat(F.lit("Nacion "), F.col("s_nationkey").cast("string")).alias("other"))
+    return two_tier(c, parties, ["s_name", "other"]).select("id", F.col("party").alias("provider"), "how")

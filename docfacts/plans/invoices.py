@@ -266,3 +266,34 @@ def q_process(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = render.facts(spark, sf_dir).filter("id % 10 = 3").select(F.sha2(F.col("id").cast("string"), 256).alias("sha256"))
     rows = process.process(docs, known)
     return rows.select("id", "estado", F.col("clase.tipo_documento").alias("tipo"), F.col("total.fuente").alias("total_source"), F.col("total.confianza").alias("sure"), F.col("diagnostico.recomendacion").alias("advice"))
+
+
+PERCEIVED_SQL = _sql(
+    "id, CASE WHEN id % 4 = 0 THEN 'REVIEW_REQUIRED' ELSE 'OK' END AS estado, CAST(CAST(floor(net / 100) + 10 AS DECIMAL(18,2)) AS VARCHAR) AS percepcion, '914' AS codjur, "
+    "CASE WHEN id % 4 = 0 THEN 'TOTAL_MISMATCH,QR_OCR_MISMATCH' ELSE '' END AS codigos"
+)
+
+
+@query("process_perceptions", PERCEIVED_SQL)
+def q_perceived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose total holds a gross-income perception; every fourth has a payload with a total that doesn't."""
+    perceived = (F.floor(F.col("net") / 100) + 10).cast("decimal(18,2)")
+    rows = render.documents(spark, sf_dir).withColumns({"_x": perceived, "_t": (F.col("total") + perceived).cast("decimal(18,2)")})
+    line = F.concat(F.lit("Percepción IIBB Misiones: $ "), numbers.argentine("_x"), F.lit("\nImporte Total: $ "), numbers.argentine("_t"), F.lit("\nCAE"))
+    body = F.concat(F.get(F.split("body", "Importe Total: "), F.lit(0)), line, F.get(F.split("body", "\nCAE", 2), F.lit(1)))
+    docs = rows.select("id", body.alias("pdf_text"), F.lit("").alias("ocr_text"), payload.decode(F.when(F.col("id") % 4 == 0, F.col("url")).otherwise("")).alias("qr"))
+    done = process.process(docs)
+    return done.select("id", "estado", F.col("percepciones_iibb.valor").alias("percepcion"), F.col("codjur.valor").alias("codjur"), F.array_join(F.transform("fallas", lambda f: f["codigo"]), ",").alias("codigos"))
+
+
+@query("extract_plain_layout", _sql("id, letter, total, point, number, '30-00000000-0' AS tax_id"))
+def q_plain_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A layout without labels: the letter ends a line, the table's heading is far from the total, the tax id's check digit is wrong."""
+    parts = [
+        F.concat(F.lit("ACME SERVICIOS SRL  "), F.col("letter")), F.lit("Direccion Mitre"), F.lit("FACTURA"), F.concat(F.lit("Comprobante "), F.col("point"), F.lit("-"), F.col("number")),
+        F.lit("CUIT: 30-00000000-0"), F.lit("Cantidad Descripción Precio Unit."), F.lit("xx\n" * 60), F.lit("IVA TOTAL"), numbers.argentine("total"),
+    ]
+    docs = render.facts(spark, sf_dir).select("id", F.concat_ws("\n", *parts).alias("body"))
+    c = F.col("body")
+    rows = docs.select("id", extract.letter(c).alias("letter"), extract.total(c).alias("total"), extract.number(c).alias("n"), ids.first_tax_id(c).alias("tax_id"))
+    return rows.select("id", "letter", "total", "n.point", "n.number", "tax_id")

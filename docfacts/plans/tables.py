@@ -104,15 +104,19 @@ def q_confirm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 IMPORT_SQL = f"""WITH {HEADER_SQL}
-SELECT id AS factura_id, 'IMPORTADA' AS evento, 'Total ' || CAST(total AS VARCHAR) AS detalle, 'erp' AS usuario FROM h WHERE importada = 0 AND id % 4 = 0
+SELECT id AS factura_id, 1 AS importada, CASE WHEN importada = 0 THEN 'IMPORTADA' END AS evento, CASE WHEN importada = 0 THEN 'Total ' || CAST(total AS VARCHAR) END AS detalle,
+       CASE WHEN importada = 0 THEN 'erp' END AS usuario FROM h
 """
 
 
 @query("import_overlay", IMPORT_SQL)
 def q_import(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The audit rows of marking every fourth pending document as imported."""
-    due = headers(spark, sf_dir).filter("importada = 0 and id % 4 = 0")
-    return staging.events(due, F.col("id"), "IMPORTADA", F.concat(F.lit("Total "), F.col("total").cast("string")), "erp")
+    """All headers after the pending ones are marked as imported, each with the audit row of its change."""
+    rows = headers(spark, sf_dir)
+    due = rows.filter("importada = 0")
+    done = staging.overlay(rows, due.select("id", F.lit(1).alias("importada")), "id")
+    audit = staging.events(due, F.col("id"), "IMPORTADA", F.concat(F.lit("Total "), F.col("total").cast("string")), "erp")
+    return done.select(F.col("id").alias("factura_id"), F.col("importada").cast("int").alias("importada")).join(audit, "factura_id", "left")
 
 
 REPLACE_SQL = f"""WITH {HEADER_SQL}
@@ -177,8 +181,8 @@ SELECT place, archivo, total FROM m ORDER BY archivo DESC LIMIT 50 OFFSET 20
 def q_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page of a filtered list; places count from the unfiltered one, the total is that of the filter."""
     found = listing.with_position(listed(spark, sf_dir), "archivo", "place").filter("estado = 'OK'")
-    total = found.count()
-    return listing.page(found, [F.desc("archivo")], "bad", 20).select("place", "archivo", F.lit(total).cast("long").alias("total"))
+    total = found.agg(F.count("*")).scalar()
+    return listing.page(found, [F.desc("archivo")], "bad", 20).select("place", "archivo", total.alias("total"))
 
 
 SUMMARY_SQL = f"""WITH {LIST_SQL}
@@ -237,18 +241,28 @@ def q_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 HAMMING_SQL = """
-WITH h AS (SELECT vec_id, CAST(list_sum(list_transform(range(1, 17), lambda i: CASE WHEN embedding[i] > 0 THEN 1 << (i - 1) ELSE 0 END)) AS BIGINT) AS bits FROM embeddings)
-SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(xor(a.bits, b.bits)) AS INTEGER) AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.bits, b.bits)) <= 2
+WITH e AS (SELECT vec_id, embedding FROM embeddings UNION ALL SELECT vec_id + 10000000, list_concat([-embedding[1], -embedding[2]], list_slice(embedding, 3, 64)) FROM embeddings),
+h AS (SELECT vec_id, list_transform(range(0, 8), lambda k: CAST(list_sum(list_transform(range(0, 32), lambda i:
+             CASE WHEN CAST(embedding[k * 8 + i // 4 + 1] AS DOUBLE) > ([-0.1, 0.0, 0.1, 0.2]::DOUBLE[])[i % 4 + 1] THEN 1::BIGINT << i ELSE 0::BIGINT END)) AS BIGINT)) AS bits FROM e),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b, CAST(list_sum(list_transform(range(1, 9), lambda k: bit_count(xor(a.bits[k], b.bits[k])))) AS INTEGER) AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id)
+SELECT a, b, distance FROM p WHERE distance <= 12
 """
 
 
 @query("near_dup_hamming", HAMMING_SQL)
 def q_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of vectors whose first 16 signs differ in two places at most."""
-    bits = F.lit(0).cast("long")
-    for i in range(16):
-        bits = bits + F.when(F.get("embedding", F.lit(i)) > 0, 1 << i).otherwise(0)
-    return dedupe.hash_pairs(table(spark, sf_dir, "embeddings"), "vec_id", bits, 16, 2)
+    """Pairs of vectors, and of those with two components turned over, whose 256-bit hashes, four steps of each of the 64 components, differ in twelve bits at most."""
+    own = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    turned = F.transform("embedding", lambda x, i: F.when(i < 2, -x).otherwise(x))
+    rows = own.unionByName(own.select((F.col("vec_id") + 10_000_000).alias("vec_id"), turned.alias("embedding")))
+    steps = (-0.1, 0.0, 0.1, 0.2)
+    longs = []
+    for k in range(8):
+        bits = F.lit(0).cast("long")
+        for i in range(32):
+            bits = bits + F.when(F.get("embedding", F.lit(k * 8 + i // 4)).cast("double") > steps[i % 4], F.lit(1 << i).cast("long")).otherwise(0)
+        longs.append(bits)
+    return dedupe.hash_pairs(rows, "vec_id", longs, 32, 12)
 
 
 FIRST_SQL = "SELECT doc_id, sha256(text) AS sha256, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) = 1 AS is_first FROM documents"

@@ -85,6 +85,19 @@ def test_duplicates(spark):
     assert got == {1: False, 2: True, 3: True, 4: False, 5: False}
     bits = spark.createDataFrame([(1, 0b1111), (2, 0b0111), (3, 0b0000), (4, 0b1111)], "id int, b long")
     assert {tuple(r) for r in dedupe.hash_pairs(bits, "id", F.col("b"), 16, 1).collect()} == {(1, 2, 1), (1, 4, 0), (2, 4, 1)}
+    days = [(1, [7, 0], 0), (2, [7, 1], 10), (3, [3, 1], 20), (4, [7, 1], 200), (5, None, 201)]
+    seen = spark.createDataFrame(days, "id int, b array<long>, h int").withColumn("ts", F.timestamp_add("HOUR", F.col("h"), F.lit(datetime.datetime(2024, 1, 1))))
+    near = dedupe.ttl_near(seen, "id", [F.get("b", F.lit(i)) for i in (0, 1)], 32, 1, "ts", 72)
+    assert {r["id"]: r["near_of"] for r in near.collect()} == {1: None, 2: 1, 3: 2, 4: None, 5: None}
+
+
+def test_lookup(spark):
+    from docfacts.operators import lookup
+
+    parties = spark.createDataFrame([(3, "c", "ACME SRL", None), (1, None, "Acme Group", "x"), (2, "c", None, "Ñandú"), (None, "d", "Nadie", "")], "party int, code string, name1 string, name2 string")
+    docs = spark.createDataFrame([(1, "c", ""), (2, "z", "acme"), (3, None, "ñan"), (4, "z", "me sr"), (5, "z", "acmegroup"), (6, "z", None), (7, "", "X"), (8, "d", "nadie")], "id int, code string, name string")
+    got = {r["id"]: (r["party"], r["how"]) for r in lookup.two_tier(docs, parties, ["name1", "name2"]).collect()}
+    assert got == {1: (2, "id"), 2: (1, "name"), 3: (2, "name"), 4: (3, "name"), 5: (None, "none"), 6: (None, "none"), 7: (1, "name"), 8: (None, "none")}
 
 
 def test_listing(spark):
