@@ -85,6 +85,16 @@ def _clear() -> None:
     _made.clear()
 
 
+#: Bytes of input that a task has at least, where each task first loads a large table.
+TASK_BYTES = 32 << 20
+
+
+def few_tasks(df: DataFrame, of: DataFrame) -> DataFrame:
+    """``df`` in as many tasks as the estimated size of ``of`` calls for, at least one a core; never in more than it has."""
+    size = int(of._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.coalesce(min(max(df.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)), (1 << 31) - 1))
+
+
 def remainder(doc_id, divisor: int):
     """crc32 of the id as text, modulo the divisor; null ids count as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % divisor

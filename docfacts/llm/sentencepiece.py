@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from docfacts.llm import vocabulary
-from docfacts.llm.common import discard, saved, small_batches
+from docfacts.llm.common import discard, few_tasks, saved, small_batches
 from docfacts.llm.wordhash import PIECE_BYTES, Places, Words, buffers, column, slices
 
 #: Units whose segmentation is broadcast at most (about 25 bytes each); bytes of a unit in the lexicon.
@@ -376,7 +376,8 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = v
                 yield pa.RecordBatch.from_arrays([column(batch, "id").slice(a, b - a), lists, exact, column(batch, "carry").slice(a, b - a)], ["id", "ids", "exact", "carry"])
 
     spell = spark.sparkContext.broadcast(_spelling(path))
-    done = rows.select("id", "text", "rare", "carry").mapInArrow(run, f"id long, ids array<int>, exact boolean, carry {rows.schema['carry'].dataType.simpleString()}")
+    # Each task loads the lexicon and indexes it, so it should have some text.
+    done = few_tasks(rows.select("id", "text", "rare", "carry"), df).mapInArrow(run, f"id long, ids array<int>, exact boolean, carry {rows.schema['carry'].dataType.simpleString()}")
     return done.select(F.col("id").alias(key), "ids", "exact", *[F.col("carry")[name].alias(name) for name in carry or {}])
 
 
