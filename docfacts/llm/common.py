@@ -91,7 +91,7 @@ TASK_BYTES = 32 << 20
 
 def few_tasks(df: DataFrame, of: DataFrame) -> DataFrame:
     """``df`` in as many tasks as the estimated size of ``of`` calls for, at least one a core; never in more than it has."""
-    size = int(of._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(of._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.coalesce(min(max(df.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)), (1 << 31) - 1))
 
 
