@@ -338,10 +338,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
+    """A row per document; a null id has neither a component nor a say in ``kept``: both are null."""
     from docfacts.llm.common import read
 
     found = near_duplicates(read(spark, sf_dir, "documents"), shingle=4)
-    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 OP9_SQL = r"""

@@ -2,7 +2,9 @@
 
 A word is a run of bytes other than ASCII white space (0x20, 0x09 to 0x0D), so
 UTF-8 text needs no decoding. Words, shingles and windows are named by 64-bit
-hashes; where a result must be exact, two independent hashes make 128 bits.
+hashes: polynomials of their bytes modulo 2^64, mixed. Two of n different ones
+share a name with a chance of about n^2 / 2^65 unless made to; for inputs made to
+collide (words of over a thousand bytes) there is a second family of hashes.
 """
 
 from __future__ import annotations
