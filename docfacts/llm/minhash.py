@@ -190,6 +190,11 @@ def _parts(groups: DataFrame, sides: list[str]) -> dict[str, Column]:
     return {f"{x}_parts": F.ceil(F.greatest(F.col(x) / TILE, F.col(x) * share)).cast("int") for x in sides}
 
 
+def _tiled(rows: DataFrame, *by: str):
+    """Rows by tile, in all tasks of a shuffle: a tile is much work for its bytes, so few bytes are no reason for few tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by).groupBy(*by)
+
+
 def _similarity(sig: np.ndarray, one: np.ndarray) -> np.ndarray:
     """``estimate`` of packed signatures against one of them."""
     d = sig ^ one
@@ -241,7 +246,7 @@ def _meetings(members: DataFrame, percent: int) -> DataFrame:
                 met[np.isin(met, groups)] = met[i]
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return targets.select(cols).unionByName(queries.select(cols)).groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+    return _tiled(targets.select(cols).unionByName(queries.select(cols)), "key", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def _met_links(meetings: DataFrame, comps: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -284,7 +289,7 @@ def _met_links(meetings: DataFrame, comps: DataFrame, sets: DataFrame, docs: Dat
                     root[root == root[p]] = root[q]
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return held.groupBy("home", "i", "j").applyInArrow(run, "a long, b long")
+    return _tiled(held, "home", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
