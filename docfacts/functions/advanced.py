@@ -98,6 +98,41 @@ def amount_near(c: Column, labels: str, back: int = 4, forward: int = 5) -> Colu
     return let(text.lines(c), in_lines)
 
 
+# Marks of currencies, in the order tried, and of any other; labels of totals.
+CURRENCIES = ((r"\b(?:U\$S|USD|DOLAR(?:ES)?)\b", "USD"), (r"\b(?:EUR|EUROS?)\b", "EUR"))
+OTHER_CURRENCY = "ARS"
+SUBTOTAL_LABELS = (r"importe neto gravado", r"\bsubtotal\b")
+VAT_LABELS = (r"\biva\b(?:\s*contenido)?\s*:|\biva\b", r"impuesto al valor agregado|impuesto interno")
+PERCEPTION_LABELS = r"percepciones\s*iibb|percepcion\s*iibb|percepciones\s+ingresos\s+brutos|ingresos brutos"
+TOTAL_LABELS = r"\bimporte total\s*:|\btotal\s*:|total a pagar|importe a pagar"
+
+
+def currency(c: Column) -> Column:
+    """USD or EUR where a text names it, else ARS."""
+    out = F
+    for pattern, code in CURRENCIES:
+        out = out.when(F.upper(c).rlike(pattern), code)
+    return out.otherwise(OTHER_CURRENCY)
+
+
+def last_amount(line: Column) -> Column:
+    """Struct (token, amount) of a line's last amount; null without one."""
+    token = F.try_element_at(numbers.tokens(line), F.lit(-1))
+    value = numbers.last_token(token)
+    return F.when(value.isNotNull(), F.struct(token.alias("token"), value.alias("amount")))
+
+
+def totals(c: Column, perceived: Column | None = None) -> Column:
+    """Struct (subtotal, vat, perceptions, total) of a text; ``perceived`` is the sum of its perceptions where they are known one by one. Null where nothing is found."""
+    found = amount_near(c, PERCEPTION_LABELS, 0, 2)
+    return F.struct(
+        F.coalesce(amount_near(c, SUBTOTAL_LABELS[0], 0, 3), amount_near(c, SUBTOTAL_LABELS[1])).alias("subtotal"),
+        F.coalesce(vat_sum(c), *[amount_near(c, x) for x in VAT_LABELS]).alias("vat"),
+        (found if perceived is None else F.coalesce(perceived, found)).alias("perceptions"),
+        amount_near(c, TOTAL_LABELS).alias("total"),
+    )
+
+
 def vat_sum(c: Column) -> Column:
     """Sum of the taxes between the net and the total: for each rate's line its last amount above 100, or that of the next four lines; null if none."""
     def in_lines(ls):

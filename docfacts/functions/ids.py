@@ -107,6 +107,20 @@ def extension(mime: Column) -> Column:
     return out.otherwise("bin")
 
 
+# Types of files by suffix, and of any other.
+CONTENT_TYPES = {
+    "pdf": "application/pdf", "jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "json": "application/json; charset=utf-8", "xml": "application/xml; charset=utf-8",
+    "txt": "text/plain; charset=utf-8",
+}
+ANY_TYPE = "application/octet-stream"
+
+
+def content_type(path: Column) -> Column:
+    """The type of a file by its suffix."""
+    types = F.create_map(*[F.lit(x) for pair in CONTENT_TYPES.items() for x in pair])
+    return F.coalesce(F.try_element_at(types, F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))), F.lit(ANY_TYPE))
+
+
 def hamming(a: Column, b: Column, hex_digits: int) -> Column:
     """Bits that differ between two hexadecimal hashes; 9999 if either is blank or of another length."""
     total = F.lit(0)

@@ -81,3 +81,8 @@ def tail_of(small: Column, large: Column) -> Column:
         return F.translate(c.cast(MONEY).cast("string"), ".", "")
 
     return (small < large) & F.endswith(cents(large), cents(small))
+
+
+def flag(c: Column) -> Column:
+    """1 for true, 0 for false or null."""
+    return F.coalesce(c.cast("boolean"), F.lit(False)).cast("int")

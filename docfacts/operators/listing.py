@@ -69,6 +69,39 @@ def matching(
     return found
 
 
+# The schema of a stored document's listed parts, and where each listed column comes from, with what stands for a missing one.
+DOCUMENT = """fecha_proceso string, estado string, origen struct<sha256: string, tipo: string, archivo_original: string, email: struct<`from`: string, subject: string>,
+clasificacion_documento: struct<tipo_documento: string>>, comprobante struct<tipo: string, letra: string, punto_venta: string, numero: string, fecha_emision: string, moneda: string, cae: string>,
+emisor struct<razon_social: string, cuit: string>, importes struct<total: decimal(18,2)>, validaciones struct<requiere_revision: boolean, observaciones: array<string>>,
+diagnostico struct<recomendacion: string, clasificacion_documento: struct<tipo_documento: string>>, extraccion_enriquecida struct<perfil_aplicado: string>, qr_afip map<string, string>"""
+LISTED = {
+    "sha256": "origen.sha256", "fecha_proceso": "fecha_proceso", "estado": "estado", "source_type": "origen.tipo", "archivo_original": "origen.archivo_original", "email_from": "origen.email.from",
+    "email_subject": "origen.email.subject", "emisor_razon_social": "emisor.razon_social", "emisor_cuit": "emisor.cuit", "tipo_comprobante": "comprobante.tipo", "letra": "comprobante.letra",
+    "punto_venta": "comprobante.punto_venta", "numero_comprobante": "comprobante.numero", "fecha_emision": "comprobante.fecha_emision", "moneda": "comprobante.moneda", "cae": "comprobante.cae",
+    "diagnostico_recomendacion": "diagnostico.recomendacion", "perfil_proveedor_aplicado": "extraccion_enriquecida.perfil_aplicado",
+}
+
+
+def list_items(df: DataFrame, path: str, document: str) -> DataFrame:
+    """The listed columns of stored documents (JSON texts); one that can't be read has no row. Missing texts are empty, a missing total is 0."""
+    rows = df.select(F.col(path).alias("json_file"), F.from_json(document, DOCUMENT).alias("_d")).filter(F.get_json_object(F.col(document), "$").isNotNull())
+    d = F.col("_d")
+
+    def at(where: str) -> Column:
+        out = d
+        for part in where.split("."):
+            out = out[part]
+        return out
+
+    return rows.select(
+        "json_file", *[F.coalesce(at(where), F.lit("")).alias(name) for name, where in LISTED.items()],
+        F.coalesce(d["validaciones"]["requiere_revision"], F.lit(False)).alias("requiere_revision"), F.coalesce(d["importes"]["total"], F.lit(0).cast("decimal(18,2)")).alias("total"),
+        F.coalesce(at("origen.clasificacion_documento.tipo_documento"), at("diagnostico.clasificacion_documento.tipo_documento"), F.lit("")).alias("clasificacion_documento"),
+        (F.coalesce(F.size("_d.qr_afip"), F.lit(0)) > 0).alias("qr_detectado"), F.coalesce(d["validaciones"]["observaciones"], F.array().cast("array<string>")).alias("fallas_principales"),
+        F.regexp_replace("json_file", r"\.json$", ".xml").alias("xml_file"), F.regexp_replace("json_file", r"\.json$", ".ready").alias("ready_file"),
+    )
+
+
 def page(df: DataFrame, order: list[Column], limit=DEFAULT_PAGE, offset: int = 0) -> DataFrame:
     return df.orderBy(*order).offset(max(0, offset)).limit(clamp(limit))
 

@@ -81,6 +81,73 @@ def usable_lines(items: Column) -> Column:
     return F.filter(F.transform(items, full), lambda x: x["subtotal"] > 0)
 
 
+#: Characters of a line's description.
+DESCRIPTION = 255
+
+
+def _first_text(*texts: Column) -> Column:
+    return F.substring(F.coalesce(*[F.nullif(F.btrim(x), F.lit("")) for x in texts], F.lit("")), 1, DESCRIPTION)
+
+
+def reference_text(items: Column, advanced_items: Column, issuer: Column) -> Column:
+    """What an account is looked up by: the first item's description, even an empty one; else the second extractor's; else the issuer's name."""
+    first = F.when(F.size(items) > 0, F.coalesce(F.get(items, F.lit(0))["descripcion"], F.lit("")))
+    other = F.when(F.size(advanced_items) > 0, F.coalesce(F.get(advanced_items, F.lit(0))["descripcion"], F.lit("")))
+    return F.substring(F.coalesce(first, other, issuer, F.lit("")), 1, DESCRIPTION)
+
+
+def reference_amount(items: Column, *amounts: Column) -> Column:
+    """The first item's subtotal, else the first of ``amounts``, that is above 0; else 0."""
+    first = F.when(F.size(items) > 0, F.get(items, F.lit(0))["subtotal"])
+    return F.coalesce(*[F.when(x > 0, x) for x in (first, *amounts)], F.lit(0)).cast("decimal(18,2)")
+
+
+def with_fallback(items: Column, issuer: Column, account: Column, reference: Column, net: Column, total: Column) -> Column:
+    """The usable lines; without any, one line with the issuer's name (else the account's, else the reference text) and the net amount, else the total."""
+    usable = usable_lines(items)
+    amount = F.coalesce(F.when(net != 0, net), total, F.lit(0)).cast("decimal(15,2)")
+    none = F.lit(None).cast("decimal(15,4)")
+    line = F.struct(_first_text(issuer, account, reference).alias("descripcion"), none.alias("cantidad"), none.alias("precio_unitario"), amount.alias("subtotal"))
+    return F.when(F.size(usable) > 0, usable).otherwise(F.array(line))
+
+
+def sums(children: DataFrame, parent: str, amount: str) -> DataFrame:
+    """(parent, n, total) of each parent's children."""
+    return children.groupBy(parent).agg(F.count("*").alias("n"), F.sum(amount).alias("total"))
+
+
+def counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, n) of each table; an empty one has 0."""
+    each = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in tables.items()]
+    out = each[0]
+    for df in each[1:]:
+        out = out.unionByName(df)
+    return out
+
+
+def inbox(headers: DataFrame) -> list[Column]:
+    """The order of pending documents: those to be reviewed first, then by time."""
+    return [F.desc("requiere_revision"), F.asc("fecha_proceso")]
+
+
+def learned(rules: DataFrame, details: DataFrame, headers: DataFrame) -> DataFrame:
+    """``rules`` (proveedor, patron, cuenta, confianza, veces_confirmada, origen) after the accounts of confirmed ``details`` (factura_id, patron, cuenta) of ``headers`` (id, proveedor).
+
+    A confirmation makes a rule of full confidence, or gives the rule of its supplier
+    and pattern its account and one more confirmation. Of several of one pattern the
+    greatest account counts, each of them as a confirmation.
+    """
+    key = ["proveedor", "patron"]
+    said = details.join(headers.select(F.col("id").alias("factura_id"), "proveedor"), "factura_id").groupBy(*key).agg(F.max("cuenta").alias("_cuenta"), F.count("*").alias("_n"))
+    cond = rules["proveedor"].eqNullSafe(said["proveedor"]) & rules["patron"].eqNullSafe(said["patron"])
+    both = rules.withColumn("_old", F.lit(True)).join(said, cond, "full")
+    new = F.col("_n").isNotNull()
+    return both.select(
+        *[F.when(F.col("_old"), rules[k]).otherwise(said[k]).alias(k) for k in key], F.coalesce("_cuenta", "cuenta").alias("cuenta"), F.when(new, 100).otherwise(F.col("confianza")).alias("confianza"),
+        (F.coalesce("veces_confirmada", F.lit(0)) + F.coalesce("_n", F.lit(0))).cast("long").alias("veces_confirmada"), F.when(new, "manual").otherwise(F.col("origen")).alias("origen"),
+    )
+
+
 def events(rows: DataFrame, parent: Column, kind: str, detail: Column, user: str) -> DataFrame:
     """Audit rows of a change, to be appended."""
     return rows.select(parent.alias("factura_id"), F.lit(kind).alias("evento"), detail.alias("detalle"), F.lit(user).alias("usuario"))

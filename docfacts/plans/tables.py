@@ -377,3 +377,80 @@ SELECT doc_id, CASE WHEN length(t) <= 80 THEN t ELSE CASE WHEN contains(substr(t
 @query("truncate_words", CUT_SQL)
 def q_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.cut_words(F.col("text"), 80).alias("shown"))
+
+
+ENQUEUE_SQL = """
+WITH u AS (SELECT doc_id, sha256(text) AS sha256, doc_id % 50 = 0 AS forced, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) = 1 AS first,
+                  EXISTS (SELECT 1 FROM documents k WHERE k.doc_id % 7 = 0 AND k.text = documents.text) AS known FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, sha256, 'QUEUED' AS status, CASE WHEN doc_id % 2 = 0 THEN 'pdf' ELSE 'png' END AS extension, forced AS "force" FROM u WHERE forced OR (first AND NOT known)
+"""
+
+
+@query("job_enqueue", ENQUEUE_SQL)
+def q_enqueue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as uploads, in the order of their ids; every seventh is known, every fiftieth forced."""
+    from docfacts.operators import jobs
+
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    name = F.concat(F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.when(F.col("doc_id") % 2 == 0, ".PDF").otherwise(""))
+    uploads = d.select(
+        F.col("text").alias("content"), name.alias("original_filename"), F.lit("image/png").alias("mime"), F.lit("email").alias("source_type"), (F.col("doc_id") % 50 == 0).alias("force"),
+        F.lit("2024-01-01 00:00:00").cast("timestamp").alias("queued_at"),
+    )
+    known = d.filter("doc_id % 7 = 0 and text is not null").select(F.sha2("text", 256).alias("sha256"))
+    rows = jobs.enqueued(uploads, known)
+    return rows.select(F.regexp_extract("original_filename", r"^(\d+)", 1).cast("long").alias("doc_id"), "sha256", "status", "extension", "force")
+
+
+LEARN_SQL = """
+WITH r AS (SELECT s_suppkey AS proveedor, 'R' AS patron, 'vieja' AS cuenta, 80 AS confianza, 3 AS veces, 'historico' AS origen FROM supplier WHERE s_suppkey % 2 = 0),
+d AS (SELECT l_suppkey AS proveedor, l_returnflag AS patron, max(l_linestatus) AS cuenta, count(*) AS n FROM lineitem GROUP BY 1, 2)
+SELECT coalesce(r.proveedor, d.proveedor) AS proveedor, coalesce(r.patron, d.patron) AS patron, coalesce(d.cuenta, r.cuenta) AS cuenta, CASE WHEN d.n IS NOT NULL THEN 100 ELSE r.confianza END AS confianza,
+       CAST(coalesce(r.veces, 0) + coalesce(d.n, 0) AS BIGINT) AS veces_confirmada, CASE WHEN d.n IS NOT NULL THEN 'manual' ELSE r.origen END AS origen
+FROM r FULL JOIN d ON r.proveedor = d.proveedor AND r.patron = d.patron
+"""
+
+
+@query("learn_rules", LEARN_SQL)
+def q_learn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules of every second supplier after the accounts of all lines are confirmed."""
+    l = table(spark, sf_dir, "lineitem").select(F.monotonically_increasing_id().alias("factura_id"), "l_suppkey", F.col("l_returnflag").alias("patron"), F.col("l_linestatus").alias("cuenta"))  # noqa: E741
+    key = F.col("l_suppkey").alias("id")
+    rules = table(spark, sf_dir, "supplier").filter("s_suppkey % 2 = 0").select(
+        F.col("s_suppkey").alias("proveedor"), F.lit("R").alias("patron"), F.lit("vieja").alias("cuenta"), F.lit(80).alias("confianza"), F.lit(3).cast("long").alias("veces_confirmada"), F.lit("historico").alias("origen")
+    )
+    details = l.select(F.col("l_suppkey").alias("factura_id"), "patron", "cuenta")
+    owners = l.select(key, F.col("l_suppkey").alias("proveedor")).distinct()
+    return staging.learned(rules, details, owners)
+
+
+@query("child_sums", "SELECT l_orderkey AS factura_id, count(*) AS n, CAST(sum(CAST(l_extendedprice AS DECIMAL(15,2))) AS DECIMAL(25,2)) AS total FROM lineitem GROUP BY l_orderkey")
+def q_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staging.sums(lines(spark, sf_dir), "factura_id", "subtotal").withColumn("total", F.col("total").cast("decimal(25,2)"))
+
+
+@query("row_counts", "SELECT 'orders' AS name, count(*) AS n FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'none', 0 UNION ALL SELECT 'events', count(*) FROM events")
+def q_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    some = {n: table(spark, sf_dir, n) for n in ("orders", "lineitem", "events")}
+    return staging.counts(some | {"none": some["orders"].filter("false")})
+
+
+ITEM_SQL = f"""WITH {HEADER_SQL}
+SELECT 'q/' || CAST(id AS VARCHAR) || '.json' AS json_file, 'q/' || CAST(id AS VARCHAR) || '.ready' AS ready_file, coalesce(numero, '') AS numero_comprobante, coalesce(letra, '') AS letra, punto_venta,
+       CAST(total AS DECIMAL(18,2)) AS total, importada = 1 AS requiere_revision, CASE WHEN importada = 1 THEN 'FACTURA' ELSE '' END AS clasificacion_documento, importada = 1 AS qr_detectado FROM h
+"""
+
+
+@query("list_items", ITEM_SQL)
+def q_items_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers as stored JSON documents, read back as the columns of a list."""
+    h = headers(spark, sf_dir)
+    done = F.col("importada") == 1
+    kind = F.when(done, F.struct(F.lit("FACTURA").alias("tipo_documento")))
+    stored = F.to_json(F.struct(
+        F.struct(kind.alias("clasificacion_documento")).alias("origen"), F.struct("letra", "punto_venta", "numero").alias("comprobante"), F.struct("total").alias("importes"),
+        F.struct(done.alias("requiere_revision")).alias("validaciones"), F.when(done, F.create_map(F.lit("cuit"), F.lit("1"))).alias("qr_afip"),
+    ))
+    rows = h.select(F.concat(F.lit("q/"), F.col("id").cast("string"), F.lit(".json")).alias("path"), stored.alias("body"))
+    found = listing.list_items(rows, "path", "body")
+    return found.select("json_file", "ready_file", "numero_comprobante", "letra", "punto_venta", "total", "requiere_revision", "clasificacion_documento", "qr_detectado")

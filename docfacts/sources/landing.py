@@ -70,6 +70,21 @@ def attachments(mails: DataFrame, senders: list[str], suffixes: tuple[str, ...]
     return rows.select("uid", "sender", "subject", "a.name", "a.mime", "a.content").filter(suffix(F.col("name")).isin(*suffixes))
 
 
+#: Characters of a PDF's text from which no other reading is tried.
+ENOUGH_TEXT = 40
+
+
+def text_or_reading(pdf: Column, reading: Column) -> Column:
+    """A PDF's own text if there is enough of it, else what was read from its pages."""
+    own = F.btrim(F.coalesce(pdf, F.lit("")))
+    return F.when(F.length(own) >= ENOUGH_TEXT, own).otherwise(F.coalesce(F.nullif(F.btrim(reading), F.lit("")), own))
+
+
+def fetched_uid(answer: Column) -> Column:
+    """The message number in a mail server's answer; empty without one."""
+    return F.coalesce(F.regexp_extract(answer, r"(?i)UID\s+(\d+)", 1), F.lit(""))
+
+
 def messages_done(results: DataFrame) -> DataFrame:
     """Mails to be marked as read: those of which no attachment failed."""
     return results.groupBy("uid").agg(F.bool_and("ok").alias("ok")).filter("ok").select("uid")

@@ -188,3 +188,16 @@ def test_number_with_the_best_surroundings(spark):
     assert number(far + "0001-00000001") == ("", "")  # late, and nothing speaks for it
     assert number("FACTURA 0001-00000001 FACTURA 0002-00000002") == ("0001", "00000001")
     assert number("VENDEDOR 0001-00000001") == ("", "")
+
+
+def test_small_functions(spark):
+    from docfacts.functions import advanced
+
+    assert [one(spark, x, advanced.currency) for x in ("Total EUR 5", "dolares", "euros", "nada")] == ["EUR", "USD", "EUR", "ARS"]
+    assert [one(spark, x, ids.content_type) for x in ("a/b.PDF", "x.json", "x", None)] == ["application/pdf", "application/json; charset=utf-8", "application/octet-stream", "application/octet-stream"]
+    assert [one(spark, x, numbers.flag) for x in ("true", "false", None)] == [1, 0, 0]
+    assert one(spark, "Cod. 006 FACTURA", extract.letter_by_code) == "B" and one(spark, "nada", extract.letter_by_code) is None
+    assert tuple(one(spark, "a 1.234,50 b 7,25", advanced.last_amount)) == ("7,25", D("7.25")) and one(spark, "nada", advanced.last_amount) is None
+    body = "Importe Neto Gravado: 1000,00\nIVA: 210,00\nPercepcion IIBB: 30,00\nTotal: 1240,00"
+    assert tuple(one(spark, body, advanced.totals)) == (D("1000.00"), D("210.00"), D("30.00"), D("1240.00")) and tuple(one(spark, "nada", advanced.totals)) == (None,) * 4
+

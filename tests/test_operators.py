@@ -199,3 +199,40 @@ def test_stream_marks_repeats_as_the_batch_does(spark, tmp_path):
     got = sorted((r["key"], r["ts"], r["is_repeat"]) for r in spark.table("marked").collect())
     want = sorted((r["k"], r["ts"], r["is_repeat"]) for r in dedupe.ttl_repeats(spark.createDataFrame(rows, "k string, ts timestamp"), ["k"], "ts", 72, []).collect())
     assert got == want
+
+
+def test_jobs(spark):
+    from docfacts.operators import jobs
+
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(b"x", "a.PDF", None, "mail", None, at), (b"x", "b", "image/png", "mail", False, at), (b"x", "c", "text/odd", "mail", True, at), (b"y", "d.png", None, "web", False, at), (None, "e", None, "web", True, at)]
+    uploads = spark.createDataFrame(rows, "content binary, original_filename string, mime string, source_type string, force boolean, queued_at timestamp")
+    first = jobs.enqueued(uploads)
+    assert {(r["original_filename"], r["extension"], r["force"]) for r in first.collect()} == {("a.PDF", "pdf", False), ("c", "bin", True), ("d.png", "png", False)}
+    again = jobs.enqueued(uploads, first)
+    assert [r["original_filename"] for r in again.collect()] == ["c"] and jobs.enqueued(uploads.limit(0)).count() == 0
+    ids_ = {r["original_filename"]: r["job_id"] for r in first.collect()}
+    done = spark.createDataFrame([(ids_["d.png"], True, "no", at), (ids_["a.PDF"], False, "bad", at)], "job_id string, ok boolean, error string, finished_at timestamp").dropDuplicates(["job_id"])
+    states = jobs.settled(first.filter("not force"), done)
+    assert {r["original_filename"]: (r["status"], r["error"], r["folder"]) for r in states.collect()} == {"d.png": ("DONE", None, "procesados"), "a.PDF": ("ERROR", "bad", "errores")}
+    assert "mime" not in jobs.summaries(states).columns and "folder" in jobs.summaries(states).columns
+
+
+def test_fallback_lines(spark):
+    item = "array<struct<descripcion: string, cantidad: decimal(15,4), precio_unitario: decimal(15,4), subtotal: decimal(15,2)>>"
+    rows = [(1, [("x", None, None, D("5.00"))], "ACME", D("1.00"), D("2.00")), (2, [("x", None, None, None)], " ", D("0.00"), D("2.00")), (3, None, None, None, None)]
+    df = spark.createDataFrame(rows, f"id int, items {item}, issuer string, net decimal(15,2), total decimal(15,2)")
+    made = staging.with_fallback(F.col("items"), F.col("issuer"), F.lit(None).cast("string"), F.lit("ref"), F.col("net"), F.col("total"))
+    got = {r["id"]: [(x["descripcion"], x["subtotal"]) for x in r["l"]] for r in df.select("id", made.alias("l")).collect()}
+    assert got == {1: [("x", D("5.00"))], 2: [("ref", D("2.00"))], 3: [("ref", D("0.00"))]}
+    ref = df.select("id", staging.reference_text(F.col("items"), F.col("items"), F.col("issuer")).alias("t"), staging.reference_amount(F.col("items"), F.col("net"), F.col("total")).alias("a")).orderBy("id").collect()
+    assert [(r["t"], r["a"]) for r in ref] == [("x", D("5.00")), ("x", D("2.00")), ("", D("0.00"))]
+
+
+def test_readings(spark):
+    row = spark.range(1).select(
+        landing.text_or_reading(F.lit("x" * 40), F.lit("y")).alias("a"), landing.text_or_reading(F.lit("x"), F.lit("y")).alias("b"), landing.text_or_reading(F.lit("x"), F.lit(" ")).alias("c"),
+        landing.fetched_uid(F.lit("1 (uid  77 BODY")).alias("d"), landing.fetched_uid(F.lit(None).cast("string")).alias("e"),
+    ).first()
+    assert tuple(row) == ("x" * 40, "y", "x", "77", "")
+
