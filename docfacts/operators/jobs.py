@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docfacts.functions import ids
 
 # States of a job, where its file stands in each, and what a summary shows.
-QUEUED, DONE, FAILED = "QUEUED", "DONE", "ERROR"
-FOLDERS = {QUEUED: "pendientes", DONE: "procesados", FAILED: "errores"}
+QUEUED, STARTED, DONE, FAILED = "QUEUED", "PROCESSING", "DONE", "ERROR"
+FOLDERS = {QUEUED: "pendientes", STARTED: "pendientes", DONE: "procesados", FAILED: "errores"}
 SHOWN = ("job_id", "status", "original_filename", "sha256", "source_type", "extension", "force", "queued_at", "started_at", "finished_at", "error", "folder")
 
 
@@ -38,6 +38,14 @@ def enqueued(uploads: DataFrame, known: DataFrame | None = None) -> DataFrame:
     )
 
 
+def started(jobs: DataFrame, ids_: DataFrame, at: Column) -> DataFrame:
+    """``jobs`` with those of ``ids_`` (job_id) in work since ``at``; only queued ones begin."""
+    taken = ids_.select("job_id", F.lit(True).alias("_taken")).distinct()
+    begins = F.coalesce(F.col("_taken"), F.lit(False)) & (F.col("status") == QUEUED)
+    rows = jobs.join(taken, "job_id", "left")
+    return rows.withColumns({"started_at": F.when(begins, at), "status": F.when(begins, STARTED).otherwise(F.col("status"))}).drop("_taken")
+
+
 def settled(jobs: DataFrame, results: DataFrame) -> DataFrame:
     """``jobs`` with the outcome of ``results`` (job_id, ok, error, finished_at): status, error, finished_at, and the folder of the job's file."""
     done = results.select("job_id", F.when(F.col("ok"), DONE).otherwise(FAILED).alias("_status"), F.when(~F.coalesce("ok", F.lit(False)), F.col("error")).alias("error"), "finished_at")

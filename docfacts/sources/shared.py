@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """The same rows as a Parquet table under spark.checkpoint.dir (a temporary folder only where that is unset)."""
+    """The same rows as a Parquet table under spark.checkpoint.dir; in local mode, as in tests, under a temporary folder where that is unset."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docfacts-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="docfacts-"))
     path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

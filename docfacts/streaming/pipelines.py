@@ -10,22 +10,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+#: Parts of a staging store, by the hash of its key.
+PARTS = 256
+
+
 def stage_batches(stream: DataFrame, build: Callable[[DataFrame], DataFrame], store: str, key: str, checkpoint: str, once: bool = True):
     """Append each micro-batch's new documents to ``store``; a batch that runs again adds nothing twice.
 
     Rows whose key the store has, in whatever batch, are skipped before ``build`` runs
-    on them. A batch writes a folder of its own, so a repeated batch overwrites itself.
+    on them; of the store only the keys of those parts are read that the batch's keys
+    are of. A batch writes a folder of its own, so a repeated batch overwrites itself.
     """
+    part = F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int")
+
     def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         first = batch.dropDuplicates([key])
+        wanted = [r["part"] for r in first.select(part.alias("part")).distinct().collect()]  # PARTS at most
         try:
-            seen = spark.read.option("basePath", store).parquet(store).filter(F.col("batch") != number).select(key)
+            held = spark.read.option("basePath", store).parquet(store)
+            seen = held.filter((F.col("batch") != number) & F.col("part").isin(wanted)).select(key)
             first = first.join(seen, key, "left_anti")
         except Exception as e:  # the store is not there yet
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
-        build(first).write.mode("overwrite").parquet(f"{store}/batch={number}")
+        build(first).withColumn("part", part).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{store}/batch={number}")
 
     writer = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="60 seconds")).start()

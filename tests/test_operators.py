@@ -213,6 +213,8 @@ def test_jobs(spark):
     assert [r["original_filename"] for r in again.collect()] == ["c"] and jobs.enqueued(uploads.limit(0)).count() == 0
     ids_ = {r["original_filename"]: r["job_id"] for r in first.collect()}
     done = spark.createDataFrame([(ids_["d.png"], True, "no", at), (ids_["a.PDF"], False, "bad", at)], "job_id string, ok boolean, error string, finished_at timestamp").dropDuplicates(["job_id"])
+    work = jobs.started(first, first.filter("force").select("job_id"), F.lit(at)).filter("status = 'PROCESSING'").collect()
+    assert {r["job_id"] for r in work} == {ids_["c"]} and all(r["started_at"] == at for r in work)
     states = jobs.settled(first.filter("not force"), done)
     assert {r["original_filename"]: (r["status"], r["error"], r["folder"]) for r in states.collect()} == {"d.png": ("DONE", None, "procesados"), "a.PDF": ("ERROR", "bad", "errores")}
     assert "mime" not in jobs.summaries(states).columns and "folder" in jobs.summaries(states).columns
