@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +45,22 @@ def small_batches(spark: SparkSession) -> None:
 _made: list[tuple[SparkSession, str]] = []
 
 
+#: Characters of a plan that the driver keeps for each of the operators' own jobs.
+PLAN_CHARS = 1 << 14
+
+
+@contextmanager
+def short_plans(spark: SparkSession) -> Iterator[None]:
+    """Jobs in here leave only the beginning of their plan with the driver, which keeps those of a thousand jobs; a lattice's has half a million characters."""
+    name = "spark.sql.maxPlanStringLength"
+    own = spark.conf.get(name, None)
+    spark.conf.set(name, str(min(PLAN_CHARS, int(own or PLAN_CHARS))))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if own is None else spark.conf.set(name, own)
+
+
 def saved(df: DataFrame, narrow: bool = False) -> DataFrame:
     """The same rows from a Parquet table in the shared folder: computed once, lineage cut, safe against lost executors.
 
@@ -59,7 +77,8 @@ def saved(df: DataFrame, narrow: bool = False) -> DataFrame:
     _made.append((spark, path))
     if narrow:
         df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
-    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+    with short_plans(spark):
+        df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
     return out

@@ -74,4 +74,4 @@ def components(edges: DataFrame) -> DataFrame:
     if not size and labels is not None:
         return labels
     last = left.coalesce(1).mapInArrow(_finish, "hi long, to long")
-    return saved(last.select(F.col("hi").alias("id"), F.col("to").alias("component")) if labels is None else passed(last), narrow=True)
+    return last.select(F.col("hi").alias("id"), F.col("to").alias("component")) if labels is None else passed(last)

@@ -138,7 +138,7 @@ def _least_estimate(percent: int) -> float:
 
 def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Those ``pairs`` (a, b) of ids whose whole sets are ``percent`` alike; a third column says so for every pair."""
-    ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), narrow=True)
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     few = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     texts = docs.join(few, "id")
 
@@ -249,11 +249,11 @@ def _meetings(members: DataFrame, percent: int) -> DataFrame:
     return _tiled(targets.select(cols).unionByName(queries.select(cols)), "key", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def _met_links(meetings: DataFrame, comps: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) between components ``comps`` (rep, comp), enough to connect all that whole sets connect among what ``meetings`` bring together."""
-    homes = components(meetings).select(F.col("id").alias("rep"), F.col("component").alias("home"))
+def _met_links(homes: DataFrame, comps: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between components ``comps`` (rep, comp), enough to connect all that whole sets connect among members of one of ``homes`` (id, component)."""
+    homes = homes.select(F.col("id").alias("rep"), F.col("component").alias("home"))
     people = saved(homes.join(sets.select("rep", "n", "h1", "sig"), "rep").join(comps, "rep"), narrow=True)
-    tiles = saved(people.groupBy("home").agg(F.count("*").alias("m"), F.sum("n").alias("shingles")), narrow=True)
+    tiles = people.groupBy("home").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"))
     parts = F.greatest(_parts(tiles, ["m"])["m_parts"], F.ceil(F.col("shingles") / TILE_SHINGLES).cast("int"))
     people = people.join(tiles.select("home", parts.alias("t")), "home")
     few = F.broadcast(people) if tiles.agg(F.sum("m")).first()[0] <= BROADCAST_ROWS // 8 else people
@@ -325,16 +325,15 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     stars = members.join(leads, "key").groupBy("rep").agg((-F.max("lead")["rep"]).alias("lead")).filter("rep <> lead")
     pairs = stars.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
     tried = confirm(saved(_likely(pairs, sets, percent), narrow=True), docs, shingle, percent)
-    links = saved(tried.filter("same").select("a", "b").distinct(), narrow=True)
-    linked = components(links)
+    linked = components(tried.filter("same").select("a", "b"))
     comps = saved(members.select("rep").distinct().join(linked, F.col("rep") == F.col("id"), "left").select("rep", F.coalesce("component", "rep").alias("comp")), narrow=True)
     spread = members.select("key", "rep").join(comps, "rep")
     mixed = spread.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a <> _b").select("key")
-    meetings = saved(_meetings(spread.join(mixed, "key").join(sets.select("rep", "n", "sig"), "rep"), percent).distinct(), narrow=True)
-    if not meetings.isEmpty():
-        more = components(_met_links(meetings, comps, sets, docs, shingle, percent)).select(F.col("id").alias("comp"), "component")
+    homes = components(_meetings(spread.join(mixed, "key").join(sets.select("rep", "n", "sig"), "rep"), percent))
+    if not homes.isEmpty():
+        more = components(_met_links(homes, comps, sets, docs, shingle, percent)).select(F.col("id").alias("comp"), "component")
         comps = comps.join(more, "comp", "left").select("rep", F.coalesce("component", "comp").alias("comp"))
-    discard(members, links, meetings)
+    discard(members)
     classes = sets.select("rep", "n", "h1", "h2").join(comps, "rep", "left").select("n", "h1", "h2", F.coalesce("comp", "rep").alias("_c"))
     # Empty sets are no class: they would all meet in one key.
     empty = signed.filter("n = 0").select("id", "n", F.col("id").alias("_c"))

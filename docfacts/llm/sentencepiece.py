@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from docfacts.llm import vocabulary
-from docfacts.llm.common import discard, few_tasks, saved, small_batches
+from docfacts.llm.common import discard, few_tasks, saved, short_plans, small_batches
 from docfacts.llm.wordhash import PIECE_BYTES, Places, Words, buffers, column, slices
 
 #: Units whose segmentation is broadcast at most (about 25 bytes each); bytes of a unit in the lexicon.
@@ -275,8 +275,12 @@ class Lexicon:
 
 def _loaded(words: DataFrame) -> Lexicon:
     """On the driver, at most LEXICON_ROWS rows."""
-    t = words.select("h", "ids").toArrow()
-    return Lexicon([c.to_numpy().view(np.uint64) for c in t["h"].chunks], t["ids"].chunks)
+    with short_plans(words.sparkSession):
+        t = words.select("h", "ids").toArrow()
+    found = Lexicon([c.to_numpy().view(np.uint64) for c in t["h"].chunks], t["ids"].chunks)
+    del t
+    pa.default_memory_pool().release_unused()
+    return found
 
 
 def lexicon(units: DataFrame, path: str = vocabulary.DEFAULT) -> DataFrame:
