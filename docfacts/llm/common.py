@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -61,6 +62,24 @@ def short_plans(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(name) if own is None else spark.conf.set(name, own)
 
 
+#: Seconds that pass, at least, from one collection of the driver's garbage to the next.
+COLLECT_SECONDS = 3
+
+_collected = [0.0]
+
+
+def _collect(spark: SparkSession) -> None:
+    """Collect the driver's garbage, now and then.
+
+    Spark deletes the shuffle files and broadcasts of a finished plan only when the
+    driver collects the plan itself. Many small jobs in a row also leave task records
+    behind, over which the driver's heap would otherwise grow to its limit.
+    """
+    if time.monotonic() - _collected[0] >= COLLECT_SECONDS:
+        spark.sparkContext._jvm.System.gc()
+        _collected[0] = time.monotonic()
+
+
 def saved(df: DataFrame, narrow: bool = False) -> DataFrame:
     """The same rows from a Parquet table in the shared folder: computed once, lineage cut, safe against lost executors.
 
@@ -79,6 +98,7 @@ def saved(df: DataFrame, narrow: bool = False) -> DataFrame:
         df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
     with short_plans(spark):
         df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+    _collect(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
     return out
