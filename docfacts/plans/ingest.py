@@ -29,6 +29,18 @@ def q_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("id").agg(F.count("*").alias("n"), F.sum("i.cantidad").cast("decimal(25,4)").alias("quantity"), F.sum("i.subtotal").cast("decimal(25,2)").alias("total"))
 
 
+@query("line_items_stacked", ITEMS_SQL)
+def q_stacked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's lines rendered as a table with one value a line, parsed, cleaned, and summed again."""
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    money = F.col("l_extendedprice").cast("decimal(15,2)")
+    cells = F.concat_ws("\n", F.lit("Tornillo largo"), F.format_string("%d", F.col("l_quantity").cast("long")), F.lit("kg"), numbers.argentine(F.round(money / F.col("l_quantity"), 2)), numbers.argentine(money))
+    body = F.concat(F.lit("FACTURA A\nProducto / Servicio\nCantidad\nU. medida\nPrecio Unit.\nSubtotal\n"), F.array_join(F.collect_list(cells), "\n"), F.lit("\nImporte Total: $ 1,00"))
+    docs = l.groupBy(F.col("l_orderkey").alias("id")).agg(body.alias("body"))
+    rows = docs.select("id", F.explode(items.cleaned(items.line_items("body"))).alias("i"))
+    return rows.groupBy("id").agg(F.count("*").alias("n"), F.sum("i.cantidad").cast("decimal(25,4)").alias("quantity"), F.sum("i.subtotal").cast("decimal(25,2)").alias("total"))
+
+
 PERCEPTION_SQL = """
 SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'MISIONES' WHEN 1 THEN 'SANTA FE' ELSE 'CORDOBA' END AS jurisdiccion, CASE o_orderkey % 3 WHEN 0 THEN '914' WHEN 1 THEN '921' ELSE '904' END AS codjur,
        CAST(o_totalprice AS DECIMAL(15,2)) AS importe FROM orders

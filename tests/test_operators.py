@@ -115,6 +115,31 @@ def test_listing(spark):
     assert m == {"API_KEY": "***", "n": "v"}
 
 
+def test_item_layouts():
+    def rows(*lines):
+        return [tuple(x.values()) for x in items.items_of("\n".join(lines))]
+
+    head = ("FACTURA A", "Producto / Servicio", "Cantidad", "Subtotal")
+    assert rows(*head, "Servicio de enero", "2026", "3", "kg", "21 %", "1.000,50", "3.001,50", "Otro", "1", "5,00", "Subtotal: 1,00", "Nada", "1") == [
+        ("Servicio de enero", D(3), D("1000.50"), D("3001.50")), ("Otro", D(1), D("5.00"), D("5.00")),
+    ]
+    assert rows(*head, "Subtotal c/IVA", "Pieza", "2", "kg", "10,00", "20,00", "24,20") == [("Pieza", D(2), D("10.00"), D("20.00"))]
+    assert rows("Detalle", "2,00", "Motor electrico", "150000", "300000", "4", "Tornillos", "1", "TOTAL", "CAE 1") == [("Motor electrico", D(2), D(1500), D(3000)), ("Tornillos", D(4), None, None)]
+    assert rows("Detalle", "2,00 Tuerca M8 100,00 20000", "Total: 1") == [("Tuerca M8", D(2), D(100), D(20000))]
+    assert rows("Detalle", "12 UN Bomba de agua 3,00", "modelo nuevo 100,00 300,00", "con garantia", "Total: 1") == [("Bomba de agua modelo nuevo con garantia", D(3), D(100), D(300))]
+    assert rows("ACME", "Aceite de girasol 12 100,50 1.206,00", "Total 1") == [("Aceite de girasol", D(12), D("100.50"), D(1206))]
+    assert rows("Detalle") == [] and rows("Detalle", "CAE") == [] and rows("Detalle", "5") == []
+    assert rows("Detalle", "Pieza", "9" * 30, "kg", "1,123456789", "2") == [("Pieza", None, D("1.1235"), D(2))]
+
+
+def test_items_cleaned(spark):
+    found = [("Total", D(1), D(1), D(1)), ("2 Flete a Salta 1.000,00 0,00 2.000,00 Exento", None, None, None), ("Aceite 2,00 unidades 10,00 0,00 20,00 21% 24,20", None, None, None),
+             ("Pieza", D(1), D(1), D(50)), ("", None, None, None), (None, None, None, D(3)), ("Totalmente nuevo", None, None, None)]
+    df = spark.createDataFrame([(1, found), (2, None), (3, [])], f"i int, f {items.ITEM.simpleString()}")
+    got = {r["i"]: r["f"] and [tuple(x) for x in r["f"]] for r in df.select("i", items.cleaned(F.col("f")).alias("f")).collect()}
+    assert got == {1: [("Flete a Salta", D(2), D(1000), D(2000)), ("Aceite", D(2), D(10), D(20)), ("Pieza", D(1), D(50), D(50)), (None, None, None, D(3)), ("Totalmente nuevo", None, None, None)], 2: None, 3: []}
+
+
 def test_items_and_perceptions(spark):
     body = "FACTURA A\nCantidad  Descripción  Precio  Subtotal\nTornillo largo  2  1.000,00  2.000,00\nde acero\nIVA  1  1,00  1,00\nSubtotal: 2.000,00\nOtra  1  1,00  1,00"
     assert items.items_of(body) == [{"descripcion": "Tornillo largo de acero", "cantidad": D(2), "precio_unitario": D("1000.00"), "subtotal": D("2000.00")}]
