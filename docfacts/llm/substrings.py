@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docfacts.llm.common import small_batches
+from docfacts.llm.common import few_tasks, small_batches
 from docfacts.llm.wordhash import buffers, column, mix, pieces
 
 #: Rows of the sketch; counters in a row at least and at most (2 bits of 2^28 counters are 64 MB for both rows).
@@ -279,7 +279,9 @@ def _kept(docs: DataFrame, window: int, tidy: bool) -> DataFrame:
             )
 
     numbers = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("text", T.StringType())]
-    return docs.join(found, ["id", "th"], "left").select("own", "text", "ranges").mapInArrow(cut, T.StructType([docs.schema["own"], *numbers]))
+    joined = docs.join(found, ["id", "th"], "left").select("own", "text", "ranges")
+    # A task writes a file, and for each the JVM may start processes: as many tasks as the texts call for, not as the shuffle has.
+    return few_tasks(joined, docs).mapInArrow(cut, T.StructType([docs.schema["own"], *numbers]))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ from collections import Counter
 
 from frames import edge_rows, frame
 
-from docfacts.llm import substrings
+from docfacts.llm import common, substrings
 
 
 def brute(texts, window):
@@ -51,3 +51,24 @@ def test_cleaned_keeps_columns_and_other_texts(spark, edge):
     assert done.columns == edge.columns
     rows = {r["doc_id"]: r["text"] for r in done.collect()}
     assert rows[1] == edge_rows()[0][1] and rows[6] == "" and rows[2] is None and rows[4] == " \t\n "
+
+
+def test_tasks_follow_the_texts(spark, tmp_path, monkeypatch):
+    """The result has a task a core for little text, however many partitions a shuffle has, and more for more text."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.shuffle.partitions", "40")
+    session.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    session.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    rows = [(i, f"{i} " * (i % 50) + "same words " * (i % 3) * 20, "en", "s", 0) for i in range(400)]
+    frame(session, rows).write.parquet(f"{tmp_path}/in")
+
+    def files(make, name):
+        make(session.read.parquet(f"{tmp_path}/in")).write.parquet(f"{tmp_path}/{name}")
+        return len(list((tmp_path / name).glob("part-*")))
+
+    cores = spark.sparkContext.defaultParallelism
+    assert files(substrings.remove_repeats, "few") <= cores and files(substrings.cleaned, "cleaned") <= cores
+    monkeypatch.setattr(common, "TASK_BYTES", 1)
+    assert files(substrings.remove_repeats, "many") > cores
+    got = [sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in spark.read.parquet(f"{tmp_path}/{name}").collect()) for name in ("few", "many")]
+    assert got[0] == got[1] == sorted((i, n, m, k) for (i, *_), (n, m, k) in zip(rows, brute([r[1] for r in rows], 35), strict=True))
