@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docfacts.llm import language, minhash, mixing, sentencepiece, substrings
-from docfacts.llm.common import read, remainder, saved
+from docfacts.llm.common import few_tasks, read, remainder, saved
 
 #: A document goes if no language is this likely.
 LEAST_SCORE = 0.5
@@ -47,9 +47,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = without(keyed, members.join(first, "component_id").filter("_row <> _first").select("_row"))
     twice = saved(found.groupBy("_row").agg(F.count("*").alias("n")).filter("n > 1").select("_row"), narrow=True)
     if twice.isEmpty():
-        return kept.select(*docs.columns)
+        return few_tasks(kept.select(*docs.columns), docs)
     again = kept.join(twice, "_row", "left_semi").dropDuplicates(["doc_id", "text"])
-    return without(kept, twice).unionByName(again).select(*docs.columns)
+    return few_tasks(without(kept, twice).unionByName(again).select(*docs.columns), docs)
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -80,14 +80,23 @@ def _collect(spark: SparkSession) -> None:
         _collected[0] = time.monotonic()
 
 
+#: For a table in a local folder Hadoop writes a second file with checksums beside each, and the JVM starts a process to set the mode of either.
+NO_CRC_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
+def narrowed(df: DataFrame) -> DataFrame:
+    """Rows of a few numbers behind a shuffle, in a quarter of its partitions: each task that writes starts processes, which count with the JVM's memory until they have become another program."""
+    return df.coalesce(max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4))
+
+
 def saved(df: DataFrame, narrow: bool = False) -> DataFrame:
     """The same rows from a Parquet table in the shared folder: computed once, lineage cut, safe against lost executors.
 
     A table, not checkpoint(), so that the plan read back is a plain scan: loops
     then plan each round afresh, with nothing carried along from the rounds before.
     A ``narrow`` table, of a few numbers a row behind a shuffle, is written by a
-    quarter of the shuffle's partitions. The tables go with ``discard``, or when the
-    driver's Python ends.
+    quarter of the shuffle's partitions; in a local folder none has checksum files.
+    The tables go with ``discard``, or when the driver's Python ends.
     """
     spark = df.sparkSession
     if not _made:
@@ -95,9 +104,9 @@ def saved(df: DataFrame, narrow: bool = False) -> DataFrame:
     path = f"{shared_dir(spark)}/saved-{uuid.uuid4().hex}"
     _made.append((spark, path))
     if narrow:
-        df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
+        df = narrowed(df)
     with short_plans(spark):
-        df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+        df.write.options(**NO_CRC_FILES).option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     _collect(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path

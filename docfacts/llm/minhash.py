@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docfacts.llm.common import discard, saved, small_batches
+from docfacts.llm.common import discard, few_tasks, saved, small_batches
 from docfacts.llm.components import components
 from docfacts.llm.wordhash import column, mix, pieces
 
@@ -311,7 +311,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     """
     small_batches(df.sparkSession)
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = saved(signatures(docs, shingle))
+    signed = saved(signatures(few_tasks(docs, docs), shingle))
     named = signed.filter("id is not null and n > 0")
     sets = saved(named.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
     bands = sets.select("rep", F.posexplode("bands").alias("band", "key"))
