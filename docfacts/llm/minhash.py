@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docfacts.llm.common import discard, few_tasks, saved, small_batches
+from docfacts.llm.common import discard, few_tasks, narrowed, saved, small_batches
 from docfacts.llm.components import components
 from docfacts.llm.wordhash import column, mix, pieces
 
@@ -313,10 +313,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     signed = saved(signatures(few_tasks(docs, docs), shingle))
     named = signed.filter("id is not null and n > 0")
-    sets = saved(named.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
+    sets = saved(named.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), narrow=True)
     bands = sets.select("rep", F.posexplode("bands").alias("band", "key"))
     buckets = bands.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
-    members = saved(bands.join(buckets, "key"))
+    members = saved(bands.join(buckets, "key"), narrow=True)
     # Each bucket's lead is its most popular member, the one that meets most others in all of its buckets: in a
     # group of copies, the text that they were made from. Each member asks the most popular of its leads.
     popular = members.groupBy("rep").agg(F.sum("m").alias("meets"))
@@ -338,7 +338,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     # Empty sets are no class: they would all meet in one key.
     empty = signed.filter("n = 0").select("id", "n", F.col("id").alias("_c"))
     found = signed.filter("n > 0").select("id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"], "left").select("id", "n", "_c").unionByName(empty)
-    return found.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("_c", "id")).alias("component_id"))
+    return narrowed(found).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("_c", "id")).alias("component_id"))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -56,3 +56,9 @@ def test_copies_go_in_tasks_by_size(spark, in_many_files, made):
     assert kept.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
     assert len(files(made[0])) <= spark.sparkContext.defaultParallelism  # signatures, straight from the documents
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, *range(100, 120)]
+
+
+def test_near_duplicates_in_a_quarter_of_the_partitions(in_many_files, made):
+    found = minhash.near_duplicates(in_many_files)
+    assert found.rdd.getNumPartitions() <= 20 and max(len(files(t)) for t in made) <= 20
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {i: 0 if i < 100 else i for i in [*range(40), *range(100, 120)]}
