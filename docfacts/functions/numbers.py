@@ -47,10 +47,11 @@ def tokens(c: Column) -> Column:
 
 def last_token(c: Column) -> Column:
     """The last number of a text; with a decimal comma dots group, without one commas do."""
+    def spelled(t):
+        return F.when(t.rlike(r",\d{1,2}$"), F.translate(F.translate(t, ".", ""), ",", ".")).otherwise(F.translate(t, ",", ""))
+
     t = F.try_element_at(F.regexp_extract_all(c, F.lit(r"([-+]?[0-9][0-9.,]*)")), F.lit(-1))
-    t = F.regexp_replace(t, "[.,]+$", "")
-    spelled = F.when(t.rlike(r",\d{1,2}$"), F.translate(F.translate(t, ".", ""), ",", ".")).otherwise(F.translate(t, ",", ""))
-    return F.when(F.size(F.regexp_extract_all(c, F.lit("([0-9])"))) > 0, spelled.try_cast("decimal(38,10)"))
+    return let(F.regexp_replace(t, "[.,]+$", ""), spelled).try_cast("decimal(38,10)")
 
 
 def quantity(c: Column) -> Column:

@@ -20,7 +20,7 @@ def let(value: Column, then) -> Column:
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.nullif(c, F.lit(""))
+    return let(c, lambda x: F.when(x != "", x))
 
 
 def mojibake_score(c: Column) -> Column:
@@ -71,9 +71,18 @@ def tidy(c: Column) -> Column:
     return F.btrim(c, F.lit(" \t\r\n\f\x0b"))
 
 
+def has(up: Column, *words: str) -> Column:
+    """A folded text holds one of some words in capitals: a cheap test before a costly pattern that can't match without. Words with I or K are no test, for caseless patterns take two more letters as those."""
+    out = F.contains(up, F.lit(words[0]))
+    for w in words[1:]:
+        out = out | F.contains(up, F.lit(w))
+    return out
+
+
 def lines(c: Column) -> Column:
-    """Trimmed lines that are not blank."""
-    parts = F.transform(F.split(tidy(F.coalesce(c, F.lit(""))), r"\R"), lambda x: F.trim(x))
+    """Trimmed lines of a tidy text that are not blank."""
+    single = F.regexp_replace(F.coalesce(c, F.lit("")), "\t[ \t]*| [ \t]+", " ")
+    parts = F.transform(F.split(single, r"\R"), lambda x: F.trim(x))
     return F.filter(parts, lambda x: x != "")
 
 
@@ -86,6 +95,11 @@ def folded_lines(c: Column) -> Column:
     return raw_lines(fold(F.coalesce(c, F.lit(""))))
 
 
+def caseless(c: Column) -> Column:
+    """Folded text in which all that caseless patterns take for a letter A-Z is that capital, so that any word tests it (see ``has``)."""
+    return F.replace(F.replace(fold(c), F.lit("İ"), F.lit("I")), F.lit("\u212a"), F.lit("K"))
+
+
 def cut_words(c: Column, most: int = 80) -> Column:
     """Text with single spaces, cut after a whole word to at most ``most`` characters, with an ellipsis if cut."""
     clean = F.btrim(F.regexp_replace(c, r"\s+", " "))
