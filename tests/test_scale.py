@@ -4,7 +4,8 @@ import time
 
 from pyspark.sql import functions as F
 
-from docfacts.functions import advanced
+from docfacts.functions import advanced, extract
+from docfacts.sources.tables import TASK_ROWS, spread
 
 
 def seconds(df):
@@ -18,3 +19,18 @@ def test_lines_of_a_record_are_folded_once(spark):
     docs = spark.createDataFrame([(body,)], "c string")
     assert advanced.record(F.col("c")) is not None and docs.select(advanced.vat_sum(F.col("c")).alias("v")).first()["v"] == 300 * 3000
     assert seconds(docs.select(advanced.vat_sum(F.col("c")))) < 3
+
+
+def test_many_numbers_of_a_text_are_found_in_one_pass(spark):
+    body = "nada\n" * 50 + "\n".join(f"Factura N 0001-{i:08d}" for i in range(3000))
+    docs = spark.createDataFrame([(body,)], "c string")
+    n = extract.number(F.col("c")).alias("n")
+    assert tuple(docs.select(n).first()["n"]) == ("0001", "00000000")
+    assert seconds(docs.select(n)) < 6
+
+
+def test_costly_work_has_tasks_of_few_rows(spark):
+    uneven = spark.range(60_000).repartition(16, F.lit(1))
+    dealt = spread(uneven)
+    sizes = [r["n"] for r in dealt.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 60_000 and max(sizes) <= TASK_ROWS and len(sizes) >= spark.sparkContext.defaultParallelism
