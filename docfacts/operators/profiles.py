@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docfacts.functions import extract
+from docfacts.functions import extract, text
 from docfacts.operators import provenance
 
 #: How each field of a profile is read.
@@ -63,8 +63,11 @@ def select_profile(body: Column, qr_id: Column, text_id: Column, aliases: list[t
 
 def filled(field: Column, body: Column, name: str, labels: list[str]) -> Column:
     """A field, or what the first label that hits gives, if the field is empty or less sure than 80."""
-    made = [extract.after_label(body, label, READ_AS[name]).cast("string") for label in labels]
-    fresh = [provenance.field(v, provenance.PROFILE, "perfil_proveedor", f"profile_label_{name}", F.concat(F.lit(f"etiqueta '{label}' -> '"), v, F.lit("'"))) for v, label in zip(made, labels, strict=True)]
-    found = provenance.first_of(*fresh)
+    def fresh(label: str) -> Column:
+        def made(v: Column) -> Column:
+            return F.when(v != "", provenance.field(v, provenance.PROFILE, "perfil_proveedor", f"profile_label_{name}", F.concat(F.lit(f"etiqueta '{label}' -> '"), v, F.lit("'"))))
+
+        return text.let(extract.after_label(body, label, READ_AS[name]).cast("string"), made)
+
     weak = field["valor"].isNull() | (field["confianza"] < 80)
-    return F.when(weak & found["valor"].isNotNull(), found).otherwise(field)
+    return F.coalesce(F.when(weak, F.coalesce(*[fresh(label) for label in labels])), field)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docfacts.functions import dates, extract, ids, numbers, payload
+from docfacts.functions import dates, extract, ids, numbers, payload, text
 from docfacts.operators import classify, process, profiles, provenance
 from docfacts.plans import render
 from docfacts.plans.catalogue import query
@@ -73,8 +73,6 @@ def q_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("evidence_lines", _sql("id, 'Importe Total: $ ' || replace(replace(replace(format('{:,.2f}', CAST(total AS DOUBLE)), ',', ';'), '.', ','), ';', '.') AS total_line, 'FACTURA ' || letter AS kind_line"))
 def q_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from docfacts.functions import text
-
     c = F.col("body")
     return render.documents(spark, sf_dir).select("id", extract.total_evidence(c).alias("total_line"), text.first_line(c, "(?iu)FACTURA").alias("kind_line"))
 
@@ -199,11 +197,11 @@ MISMATCH_SQL = _sql("id, CASE WHEN id % 2 = 0 THEN ['total'] ELSE CAST([] AS VAR
 
 @query("qr_text_mismatch", MISMATCH_SQL)
 def q_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col("body")
-    q = payload.decode(F.col("url"))
-    said = F.when(F.col("id") % 2 == 0, (extract.total(c) + 1).cast("string")).otherwise(extract.total(c).cast("string"))
-    pairs = {"proveedor_cuit": (ids.format_tax_id(q["cuit"]), extract.issuer_tax_id(c)), "fecha_emision": (dates.iso_date(q["fecha"]), extract.issue_date(c)), "total": (numbers.money_text(q["importe"]), said)}
-    rows = render.documents(spark, sf_dir).select("id", *[x.alias(f"{s}_{n}") for n, pair in pairs.items() for s, x in zip("qt", pair, strict=True)])
+    c, q, lines = F.col("body"), F.col("_q"), F.col("_lines")
+    docs = render.documents(spark, sf_dir).select("id", "body", payload.decode(F.col("url")).alias("_q"), text.folded_lines(c).alias("_lines"))
+    said = (extract.total(c, lines) + F.when(F.col("id") % 2 == 0, 1).otherwise(0)).cast("string")
+    pairs = {"proveedor_cuit": (ids.format_tax_id(q["cuit"]), extract.issuer_tax_id(c, lines)), "fecha_emision": (dates.iso_date(q["fecha"]), extract.issue_date(c)), "total": (numbers.money_text(q["importe"]), said)}
+    rows = docs.select("id", *[x.alias(f"{s}_{n}") for n, pair in pairs.items() for s, x in zip("qt", pair, strict=True)])
     found = provenance.mismatches({n: (F.col(f"q_{n}"), F.col(f"t_{n}")) for n in pairs})
     return rows.select("id", F.transform(found, lambda x: x["campo"]).alias("differ"))
 
